@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm.common import table
+from tessera.llm.licenses import license_scan
 from tessera.llm.packing import pack
 from tessera.llm.tokens import token_counts
+from tessera.llm.urls import url_filter
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -20,9 +23,39 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), limit=2048)
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan(table(spark, sf_dir, "documents"))
+    n = F.size("phrase_starts")
+    base = F.array_sort(F.array_distinct("phrase_labels"))
+    labels = F.array_sort(F.array_distinct(F.concat("phrase_labels", F.col("spans.label"))))
+    return found.select("doc_id", "n_words", n.cast("long").alias("n_base"), F.array_min("phrase_starts").alias("first_word"), F.array_max("phrase_starts").alias("last_word"), F.array_join(base, ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), "score")
+
+
+#: Fixed values: (verdict, host, path).
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+OP6_SQL = """
+with parts as (
+  select page_id, case when position('://' in url) > 0 then regexp_extract(substr(url, position('://' in url) + 3), '^([^?#]*)', 1, 's') else '' end as rest from pages),
+split as (
+  select page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    coalesce(substr(rest, length(regexp_extract(rest, '^([^/]*)', 1)) + 1), '') as path from parts),
+rules(verdict, rhost, rpath) as (values ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+hits as (
+  select page_id, rhost || rpath as rule, verdict, row_number() over (partition by page_id order by length(rhost) desc, length(rpath) desc) as k
+  from split join rules on (host = rhost or host like '%.' || rhost) and starts_with(path, rpath))
+select s.page_id, s.host, s.path, h.rule, coalesce(h.verdict, 'allow') as verdict from split s left join hits h on s.page_id = h.page_id and h.k = 1
+"""
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_url_filter": OP6_SQL}
