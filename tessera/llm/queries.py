@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import table
 from tessera.llm.licenses import license_scan
 from tessera.llm.packing import pack
+from tessera.llm.secrets import BASE_RULES, secret_scan
 from tessera.llm.tokens import token_counts
 from tessera.llm.urls import url_filter
 
@@ -53,6 +54,14 @@ select s.page_id, s.host, s.path, h.rule, coalesce(h.verdict, 'allow') as verdic
 """
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan(table(spark, sf_dir, "documents"))
+    base = F.filter("secret_spans", lambda s: s["ord"] < len(BASE_RULES))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda k: F.size(F.filter("secret_spans", lambda s: s["ord"] == k)).cast("long")
+    return found.select("doc_id", *(count(k).alias(f"n_{r.kind}") for k, r in enumerate(BASE_RULES)), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secret_spans")).alias("spans"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 

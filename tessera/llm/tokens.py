@@ -44,9 +44,12 @@ class WordEncoder:
         self.segments: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
-    def learn(self, missing: set[str]) -> None:
+    def learn(self, wanted: set[str]) -> None:
+        """Makes the ids of all these segments known, forgetting others if there are too many."""
+        missing = wanted - self.segments.keys()
         if len(self.segments) + len(missing) > MEMO:
             self.segments.clear()
+            missing = wanted
         if len(self.parts) > MEMO:
             self.parts.clear()
         split = {s: [p.lower() if p.isascii() and "<" not in p else p for p in self.PARTS.split(s)] for s in missing}
@@ -76,19 +79,16 @@ class WordEncoder:
     def encode(self, texts: list[str], size: int = 1 << 20) -> list[bytes]:
         """Each text's ids, as little-endian unsigned 32-bit numbers."""
         out = []
-        known = self.segments
+        known = self.segments.__getitem__
         if sum(map(len, texts)) <= size:
             split = [t.replace("\n", " ").split(" ") for t in texts]
-            if missing := set().union(*split) - known.keys():
-                self.learn(missing)
-                known = self.segments
-            return [b"".join(map(known.__getitem__, s)) for s in split]
+            self.learn(set().union(*split))
+            return [b"".join(map(known, s)) for s in split]
         for t in texts:
             pieces = []
             for s in self.split(t, size):
-                if missing := set(s) - known.keys():
-                    self.learn(set(s) if len(known) + len(missing) > MEMO else missing)
-                pieces.append(b"".join(map(known.__getitem__, s)))
+                self.learn(set(s))
+                pieces.append(b"".join(map(known, s)))
             out.append(b"".join(pieces))
         return out
 
