@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import table
 from tessera.llm.decontamination import find_leaks
 from tessera.llm.licenses import license_scan
+from tessera.llm.minhash import near_duplicates
 from tessera.llm.packing import pack
 from tessera.llm.quality import score_quality
 from tessera.llm.secrets import BASE_RULES, secret_scan
@@ -73,6 +74,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).cast("int").alias("predicted"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
