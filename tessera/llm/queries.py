@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 from tessera.llm.decontamination import find_leaks
+from tessera.llm.embeddings import near_vectors
 from tessera.llm.licenses import license_scan
 from tessera.llm.minhash import near_duplicates
 from tessera.llm.packing import pack
@@ -78,6 +79,10 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
