@@ -14,6 +14,7 @@ from tessera.llm.minhash import near_duplicates
 from tessera.llm.packing import pack
 from tessera.llm.quality import score_quality
 from tessera.llm.secrets import BASE_RULES, secret_scan
+from tessera.llm.substrings import repeated_passages
 from tessera.llm.tokens import token_counts
 from tessera.llm.urls import url_filter
 
@@ -83,6 +84,10 @@ def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
