@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import durable, id_type, text_of, utf8_rows
+from tessera.llm.common import id_type, text_of, utf8_rows
 
 GEAR = np.random.default_rng(20260104).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 
@@ -78,17 +78,16 @@ def chunks(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     return df.select(F.col(id_column), text_of(text_column).alias("text")).mapInArrow(run, out)
 
 
-def repeated_passages(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: int = 128, bits: int = 5) -> DataFrame:
+def repeated_passages(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: int = 112, bits: int = 5) -> DataFrame:
     """(id, start, end, n_chunks, first_id, kept): one row for each passage (UTF-8 byte places) that also stands elsewhere.
 
     first_id is the smallest id that holds the passage's first chunk; kept marks passages of
     which this is the first place for every chunk.
     """
-    found = durable(chunks(df, id_column, text_column, bits).withColumn("row", F.monotonically_increasing_id()))
-    place = F.struct("id", "start", "row")
-    several = found.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.max("id").alias("last")).where("n > 1 and first.id <> last").select("d1", "d2", "first")
-    again = found.join(several, ["d1", "d2"]).select("id", "start", "end", "row", F.col("first.id").alias("first_id"), (F.col("first.row") == F.col("row")).alias("is_first"))
-    by_doc = Window.partitionBy("id").orderBy("start", "end", "row")
+    found = chunks(df, id_column, text_column, bits)  # read twice: cheaper than to keep every chunk on disk
+    several = found.groupBy("d1", "d2").agg(F.min(F.struct("id", "start")).alias("first"), F.max("id").alias("last")).where("first.id <> last").select("d1", "d2", "first")
+    again = found.join(several, ["d1", "d2"]).select("id", "start", "end", F.col("first.id").alias("first_id"), F.col("first").eqNullSafe(F.struct("id", "start")).alias("is_first"))
+    by_doc = Window.partitionBy("id").orderBy("start", "end")
     begins = F.coalesce(F.col("start") > F.max("end").over(by_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
     runs = again.withColumn("begins", begins.cast("int")).withColumn("passage", F.sum("begins").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
     passages = runs.groupBy("id", "passage").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_chunks"), F.min_by("first_id", "start").alias("first_id"), F.every("is_first").alias("kept"))
