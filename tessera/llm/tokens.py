@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 from tessera.llm.common import id_type, slices, text_of
 
 #: Segments that an encoder remembers before it starts anew, so that its memory is bounded.
-MEMO = 250_000
+MEMO = 500_000
 
 
 class WordEncoder:
@@ -46,18 +47,19 @@ class WordEncoder:
 
     def learn(self, wanted: set[str]) -> None:
         """Makes the ids of all these segments known, forgetting others if there are too many."""
-        missing = wanted - self.segments.keys()
+        missing = {s for s in wanted if s not in self.segments}
         if len(self.segments) + len(missing) > MEMO:
             self.segments.clear()
             missing = wanted
         if len(self.parts) > MEMO:
             self.parts.clear()
         split = {s: [p.lower() if p.isascii() and "<" not in p else p for p in self.PARTS.split(s)] for s in missing}
-        new = {p for parts in split.values() for p in parts} - self.parts.keys()
+        new = {p for parts in split.values() for p in parts if p not in self.parts}
         plain = [p for p in new if p.isascii() and p.isalpha()]
         tokenize = self.tokenizer.model.tokenize
         for p in plain:  # one pre-token, which the file's model takes as it is
-            self.parts[p] = np.array([x.id for x in tokenize(p)], dtype="<u4").tobytes()
+            ids = [x.id for x in tokenize(p)]
+            self.parts[p] = pack(f"<{len(ids)}I", *ids)
         rest = list(new.difference(plain))
         for p, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
             self.parts[p] = np.array(e.ids, dtype="<u4").tobytes()
