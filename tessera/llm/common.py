@@ -110,7 +110,7 @@ def starts(*columns: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.nonzero(differs)[0] + 1, [n]]).astype(np.int64)
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of `edges` (src, dst); component is the smallest node reachable.
 
     Alternates large-star and small-star steps: each is one minimum by node, combined before the
@@ -120,7 +120,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     now = durable(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         print_of = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("u", "v").cast("decimal(20,0)")).alias("h")).first()
         if (print_of.n, print_of.h) == before or not print_of.n:
             break

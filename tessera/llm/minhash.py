@@ -3,8 +3,10 @@
 Operator: ``near_duplicates``. Texts of the same words are one class from the start. Each class has
 `HASHES` minima over its word shingles; bands of them give candidate buckets, and of every minimum `BITS`
 low bits are packed into a signature. Within a bucket, similarity is estimated from the
-signatures' equal fields, corrected for fields that are equal by chance; pairs above the
-threshold less a wide margin are confirmed on the full shingle sets.
+signatures' equal fields, corrected for fields that are equal by chance. Pairs above the threshold less a
+wide margin must also differ in few enough bits of a parity sketch: a bit field in which each
+shingle of the full set flips one bit, so that differing bits tell the sets' difference, almost
+exactly for short texts. What is left is confirmed on the full shingle sets.
 
 Buckets of many near copies are not expanded into all pairs. In each round a member lists its
 best-estimated partners among classes that are not yet in its component, few at first and four
@@ -34,6 +36,7 @@ HASHES = 128
 BITS = 4
 SEED = 20260102
 BLOCK = 1024
+PARITY = 1024
 MEMO = 400_000
 WHITE = bytes(32 if b == 32 or 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _rng = np.random.default_rng(SEED)
@@ -83,6 +86,22 @@ def packed(best: np.ndarray) -> bytes:
     return np.bitwise_or.reduce(fields << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS)), axis=1).tobytes()
 
 
+def parity(hashes: np.ndarray) -> bytes:
+    """A field of PARITY bits, each the parity of the number of shingles that fall on it."""
+    return np.packbits(np.bincount((hashes & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).tobytes()
+
+
+def close_by_parity(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """Whether each row of a and b differ in no more bits than sets of the wanted similarity do, with 4.5 deviations to spare."""
+    differ = np.zeros((len(a), len(b)), dtype=np.int32)
+    for k in range(a.shape[1]):
+        differ += np.bitwise_count(a[:, k][:, None] ^ b[:, k][None, :])
+    m = (na[:, None] + nb[None, :]) * ((100 - percent) / (100 + percent))  # elements in one set alone, at the threshold
+    decay = np.exp(-4 * m / PARITY)
+    spread = np.sqrt(np.maximum(PARITY * (1 - decay) / 4 - m * decay, 0))
+    return differ <= PARITY / 2 * (1 - np.sqrt(decay)) + 4.5 * spread + 1
+
+
 def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Similarity of each row of a to each of b, from counts of differing fields."""
     ones = np.uint64(int("1" * (64 // BITS), 1 << BITS) if BITS > 1 else (1 << 64) - 1)
@@ -113,7 +132,7 @@ def sketches(df: DataFrame, id_column: str, text_column: str, size: int, rows: i
                 digest = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words)), dtype=np.int64)
                 hashes = shingle_set(words, size, known)
                 best = minima(hashes)
-                h1.append(int(digest[0])), h2.append(int(digest[1])), count.append(len(hashes)), signature.append(packed(best))
+                h1.append(int(digest[0])), h2.append(int(digest[1])), count.append(len(hashes)), signature.append(packed(best) + parity(hashes))
                 with np.errstate(over="ignore"):
                     key = np.arange(1, bands + 1, dtype=np.uint64)
                     for k in range(rows):
@@ -135,14 +154,15 @@ def full_sets(df: DataFrame, size: int) -> DataFrame:
     return df.mapInArrow(run, "id long, hashes binary")
 
 
-def bucket_pairs(members: DataFrame, least: float, most: int) -> DataFrame:
-    """Best partners within buckets. members: (key, bi, bj, side, comp, id, signature); (a, b, cut): cut tells of longer lists."""
+def bucket_pairs(members: DataFrame, least: float, most: int, percent: int) -> DataFrame:
+    """Best partners within buckets. members: (key, bi, bj, side, comp, id, n, signature); (key, a, b, cut): cut tells of longer lists."""
     words = HASHES * BITS // 64
 
     def work(t: pa.Table) -> pa.Table | None:
-        key, bi, bj, side, comp, ids = (t.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("key", "bi", "bj", "side", "comp", "id"))
-        sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), dtype=np.uint64).reshape(-1, words)
-        left, right, cut = [], [], []
+        key, bi, bj, side, comp, ids, size = (t.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("key", "bi", "bj", "side", "comp", "id", "n"))
+        fields = np.frombuffer(b"".join(t.column("signature").to_pylist()), dtype=np.uint64).reshape(-1, words + PARITY // 64)
+        sig, bits = fields[:, :words], fields[:, words:]
+        keys, left, right, cut = [], [], [], []
         at = starts(key, bi, bj)
         for lo, hi in zip(at[:-1], at[1:], strict=True):
             if hi - lo < 2 or (comp[lo:hi] == comp[lo]).all():
@@ -157,6 +177,8 @@ def bucket_pairs(members: DataFrame, least: float, most: int) -> DataFrame:
                 ok = (e >= least) & (comp[x][:, None] != comp[y][None, :])
                 if first is second and (comp[x] == ids[x]).all():
                     ok &= ids[x][:, None] > ids[y][None, :]  # nothing is connected yet: each pair once
+                if ok.any():
+                    ok &= close_by_parity(bits[x], bits[y], size[x], size[y], percent)
                 e = np.where(ok, e, -1.0)
                 n = ok.sum(axis=1)
                 for r in np.nonzero(n)[0]:
@@ -166,13 +188,13 @@ def bucket_pairs(members: DataFrame, least: float, most: int) -> DataFrame:
                         best = np.argpartition(-e[r], most)[:most]
                     full = n[r] > most
                     for c in best:
-                        left.append(ids[x[r]]), right.append(ids[y[c]]), cut.append(full)
+                        keys.append(key[lo]), left.append(ids[x[r]]), right.append(ids[y[c]]), cut.append(full)
         if not left:
             return None
         a, b = np.array(left), np.array(right)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "cut": np.array(cut)})
+        return pa.table({"key": np.array(keys), "a": np.minimum(a, b), "b": np.maximum(a, b), "cut": np.array(cut)})
 
-    return map_sorted_groups(members, ["key", "bi", "bj"], "a long, b long, cut boolean", work)
+    return map_sorted_groups(members, ["key", "bi", "bj"], "key long, a long, b long, cut boolean", work)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -208,28 +230,28 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_column:
     all_docs = durable(sketches(df, id_column, text_column, size, rows, bands))
     real = all_docs.where("h1 is not null and id is not null")
     classes = real.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
-    shown = durable(real.groupBy("h1", "h2").agg(F.min_by(F.struct("id", "signature", "bands"), "id").alias("r")).select("r.id", "r.signature", "r.bands"))
+    shown = durable(real.groupBy("h1", "h2").agg(F.min_by(F.struct("id", "n", "signature", "bands"), "id").alias("r")).select("r.id", "r.n", "r.signature", "r.bands"))
     keyed = shown.select("id", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     members = durable(keyed.join(shared, "key").select("key", "id", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"), "m"))
     used = members.select("id").distinct()
-    signed = durable(shown.join(used, "id", "left_semi").select("id", "signature"))
+    signed = durable(shown.join(used, "id", "left_semi").select("id", "n", "signature"))
     texts = df.select(F.col(id_column).cast("long").alias("id"), text_of(text_column).alias("text"))
 
-    def dealt(of: DataFrame, components: DataFrame | None) -> DataFrame:
+    def dealt(of: DataFrame) -> DataFrame:
         got = of.join(signed, "id")
-        got = got.withColumn("comp", F.col("id")) if components is None else got.join(components, got.id == components.node, "left").withColumn("comp", F.coalesce("component", "id"))
+        if "comp" not in of.columns:
+            got = got.withColumn("comp", F.col("id"))
         block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-        got = got.select("key", "id", "comp", "signature", "blocks", block.alias("block"))
+        got = got.select("key", "id", "comp", "n", "signature", "blocks", block.alias("block"))
         got = got.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        return got.select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "comp", "id", "signature")
+        return got.select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "comp", "id", "n", "signature")
 
     links: list[DataFrame] = []
-    components = None
     sets = None
     most = 2
     while True:
-        found = durable(bucket_pairs(dealt(members, components), percent / 100 - spread, most))
+        found = durable(bucket_pairs(dealt(members), percent / 100 - spread, most, percent))
         pairs = found.select("a", "b").distinct()
         wanted = found.select(F.col("a").alias("id")).unionAll(found.select(F.col("b").alias("id"))).distinct()
         if sets is not None:
@@ -237,11 +259,14 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_column:
         fresh = durable(full_sets(texts.join(wanted, "id", "left_semi").select("id", "text"), size).distinct())
         sets = fresh if sets is None else sets.unionAll(fresh)
         links.append(durable(confirmed(pairs, sets, percent)))
-        more = found.where("cut").limit(1).count()
         components = durable(connected_components(reduce(DataFrame.unionAll, links).select(F.col("a").alias("src"), F.col("b").alias("dst"))))
-        if not more:
+        keys = found.where("cut").select("key").distinct()
+        known = members.select("key", "id", "blocks").join(keys, "key", "left_semi").join(components, F.col("id") == F.col("node"), "left")
+        known = durable(known.select("key", "id", "blocks", F.coalesce("component", "id").alias("comp")))
+        apart = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+        members = known.join(apart, "key", "left_semi")
+        if members.isEmpty():
             break
-        members = durable(members.join(found.where("cut").select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").select("key").distinct().join(members, "key").select("key", "id", "blocks", "m"))
         most *= 4
     reached = classes.join(components, classes.rep == components.node, "left").select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.coalesce("component", "rep").alias("component"))
     out = all_docs.join(reached, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")) & F.col("id").isNotNull(), "left")

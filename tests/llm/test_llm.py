@@ -210,3 +210,38 @@ def test_quality(spark):
     assert held and all((r.score >= 0.7) == (r.doc_id % 3 > 0) for r in held)
     assert len(got) == 401 and all(0 <= r.score <= 1 for r in got)
     assert isotonic(np.array([1.0, 0.0, 2.0]), np.ones(3)).tolist() == [0.5, 0.5, 2.0]
+
+
+def test_near_duplicates_of_a_large_loose_group(spark, monkeypatch):
+    """Hundreds of copies whose similarities lie on both sides of the threshold: components equal brute force."""
+    import random
+
+    from tessera.llm import minhash
+
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for k in range(300):
+        words = list(base)
+        for _ in range(rng.choice([1, 2, 5, 6, 7, 8])):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(118)} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            n = len(sets[i] & sets[j])
+            if 100 * n >= 85 * (len(sets[i]) + len(sets[j]) - n):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    want = {i: find(i) for i in range(len(texts))}
+    assert len(set(want.values())) > 20
+    monkeypatch.setattr(minhash, "BLOCK", 64)
+    got = near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3, 85).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
