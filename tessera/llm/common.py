@@ -27,7 +27,9 @@ def durable(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", "")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    context._jvm.System.gc()  # shuffle files of dropped plans are freed when the driver collects garbage
+    return done
 
 
 def id_type(df: DataFrame, column: str) -> T.DataType:

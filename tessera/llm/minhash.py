@@ -8,10 +8,12 @@ wide margin must also differ in few enough bits of a parity sketch: a bit field
 shingle of the full set flips one bit, so that differing bits tell the sets' difference, almost
 exactly for short texts. What is left is confirmed on the full shingle sets.
 
-Buckets of many near copies are not expanded into all pairs. In each round a member lists its
-best-estimated partners among classes that are not yet in its component, few at first and four
-times as many each round; rounds end when no list had to be cut. So a pair is left out only if its
-classes are connected already. Large buckets are dealt out as pairs of blocks.
+Buckets of many near copies are not expanded into all pairs. In the first round a block of a bucket
+gives a spanning forest of its candidates, closest first. Where a pair of it is not confirmed, the
+bucket is visited again: a member lists its closest partners among classes that are not yet in its
+component, eight at first and four times as many each round; rounds end when no list had to be cut. So a
+pair is left out only if its classes are connected already. Large buckets are dealt out as
+pairs of blocks.
 
 Edge cases: null and empty texts have no shingles and are linked with nothing; a text with fewer words
 than a shingle has one shingle, all of it; a null id is linked with nothing and has a null
@@ -91,15 +93,38 @@ def parity(hashes: np.ndarray) -> bytes:
     return np.packbits(np.bincount((hashes & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).tobytes()
 
 
-def close_by_parity(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
-    """Whether each row of a and b differ in no more bits than sets of the wanted similarity do, with 4.5 deviations to spare."""
+def excess(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """Differing bits of each row of a and b over those that sets of the wanted similarity may have; linked pairs are never above 0.
+
+    Fields differ in at most as many bits as sets differ in elements, so no linked pair is above the
+    largest allowed difference. Where sets are large for the field, 4.5 deviations above the expected number are tighter.
+    """
     differ = np.zeros((len(a), len(b)), dtype=np.int32)
     for k in range(a.shape[1]):
         differ += np.bitwise_count(a[:, k][:, None] ^ b[:, k][None, :])
-    m = (na[:, None] + nb[None, :]) * ((100 - percent) / (100 + percent))  # elements in one set alone, at the threshold
+    m = (na[:, None] + nb[None, :]) * ((100 - percent) / (100 + percent)) + 1e-6
     decay = np.exp(-4 * m / PARITY)
     spread = np.sqrt(np.maximum(PARITY * (1 - decay) / 4 - m * decay, 0))
-    return differ <= PARITY / 2 * (1 - np.sqrt(decay)) + 4.5 * spread + 1
+    return differ - np.minimum(m, PARITY / 2 * (1 - np.sqrt(decay)) + 4.5 * spread + 1)
+
+
+def forest(weight: np.ndarray, near: np.ndarray, cx: np.ndarray, cy: np.ndarray):
+    """(row, column) of pairs in `near` that connect the components cx of rows and cy of columns as all of them do, light ones first."""
+    names, number = np.unique(np.concatenate([cx, cy]), return_inverse=True)
+    nx, ny = number[: len(cx)], number[len(cx) :]
+    root = np.arange(len(names))
+    while True:
+        apart = near & (root[nx][:, None] != root[ny][None, :])
+        if not apart.any():
+            return
+        w = np.where(apart, weight, np.inf)
+        rows, columns = np.nonzero(apart.any(axis=1))[0], np.nonzero(apart.any(axis=0))[0]
+        edges = sorted([(w[r, c], r, c) for r, c in zip(rows, w[rows].argmin(axis=1), strict=True)] + [(w[r, c], r, c) for c, r in zip(columns, w[:, columns].argmin(axis=0), strict=True)])
+        for _, r, c in edges:
+            x, y = root[nx[r]], root[ny[c]]
+            if x != y:
+                root[root == x] = y
+                yield r, c
 
 
 def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -155,7 +180,7 @@ def full_sets(df: DataFrame, size: int) -> DataFrame:
 
 
 def bucket_pairs(members: DataFrame, least: float, most: int, percent: int) -> DataFrame:
-    """Best partners within buckets. members: (key, bi, bj, side, comp, id, n, signature); (key, a, b, cut): cut tells of longer lists."""
+    """Partners within buckets: a spanning forest where `most` is 0, else the closest. members: (key, bi, bj, side, comp, id, n, signature); (key, a, b, cut): cut tells of longer lists."""
     words = HASHES * BITS // 64
 
     def work(t: pa.Table) -> pa.Table | None:
@@ -175,17 +200,21 @@ def bucket_pairs(members: DataFrame, least: float, most: int, percent: int) -> D
                     continue
                 e = estimates(sig[x], sig[y])
                 ok = (e >= least) & (comp[x][:, None] != comp[y][None, :])
-                if first is second and (comp[x] == ids[x]).all():
-                    ok &= ids[x][:, None] > ids[y][None, :]  # nothing is connected yet: each pair once
-                if ok.any():
-                    ok &= close_by_parity(bits[x], bits[y], size[x], size[y], percent)
-                e = np.where(ok, e, -1.0)
+                if not ok.any():
+                    continue
+                over = excess(bits[x], bits[y], size[x], size[y], percent)
+                ok &= over <= 0
+                if not most:
+                    for r, c in forest(over, ok, comp[x], comp[y]):
+                        keys.append(key[lo]), left.append(ids[x[r]]), right.append(ids[y[c]]), cut.append(False)
+                    break
+                over = np.where(ok, over, np.inf)
                 n = ok.sum(axis=1)
                 for r in np.nonzero(n)[0]:
                     if n[r] <= most:
                         best = np.nonzero(ok[r])[0]
                     else:
-                        best = np.argpartition(-e[r], most)[:most]
+                        best = np.argpartition(over[r], most)[:most]
                     full = n[r] > most
                     for c in best:
                         keys.append(key[lo]), left.append(ids[x[r]]), right.append(ids[y[c]]), cut.append(full)
@@ -249,7 +278,7 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_column:
 
     links: list[DataFrame] = []
     sets = None
-    most = 2
+    most = 0
     while True:
         found = durable(bucket_pairs(dealt(members), percent / 100 - spread, most, percent))
         pairs = found.select("a", "b").distinct()
@@ -260,14 +289,15 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_column:
         sets = fresh if sets is None else sets.unionAll(fresh)
         links.append(durable(confirmed(pairs, sets, percent)))
         components = durable(connected_components(reduce(DataFrame.unionAll, links).select(F.col("a").alias("src"), F.col("b").alias("dst"))))
-        keys = found.where("cut").select("key").distinct()
+        again = found.where("cut") if most else found.join(links[-1], ["a", "b"], "left_anti")
+        keys = again.select("key").distinct()
         known = members.select("key", "id", "blocks").join(keys, "key", "left_semi").join(components, F.col("id") == F.col("node"), "left")
         known = durable(known.select("key", "id", "blocks", F.coalesce("component", "id").alias("comp")))
         apart = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
         members = known.join(apart, "key", "left_semi")
         if members.isEmpty():
             break
-        most *= 4
+        most = 4 * most or 8
     reached = classes.join(components, classes.rep == components.node, "left").select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.coalesce("component", "rep").alias("component"))
     out = all_docs.join(reached, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")) & F.col("id").isNotNull(), "left")
     component = F.coalesce("component", "id")
