@@ -267,6 +267,9 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_column:
     signed = durable(shown.join(used, "id", "left_semi").select("id", "n", "signature"))
     texts = df.select(F.col(id_column).cast("long").alias("id"), text_of(text_column).alias("text"))
 
+    repeated = durable(real.groupBy("id").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("id"))
+    repeats = not repeated.isEmpty()
+
     def dealt(of: DataFrame) -> DataFrame:
         got = of.join(signed, "id")
         if "comp" not in of.columns:
@@ -285,7 +288,10 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_column:
         wanted = found.select(F.col("a").alias("id")).unionAll(found.select(F.col("b").alias("id"))).distinct()
         if sets is not None:
             wanted = wanted.join(sets.select("id"), "id", "left_anti")
-        fresh = durable(full_sets(texts.join(wanted, "id", "left_semi").select("id", "text"), size).distinct())
+        once = full_sets(texts.join(wanted.join(repeated, "id", "left_anti"), "id", "left_semi").select("id", "text"), size)
+        if repeats:  # only ids that stand in several rows can give a set twice
+            once = once.unionAll(full_sets(texts.join(wanted.join(repeated, "id", "left_semi"), "id", "left_semi").select("id", "text").distinct(), size).distinct())
+        fresh = durable(once)
         sets = fresh if sets is None else sets.unionAll(fresh)
         links.append(durable(confirmed(pairs, sets, percent)))
         components = durable(connected_components(reduce(DataFrame.unionAll, links).select(F.col("a").alias("src"), F.col("b").alias("dst"))))
