@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -28,6 +29,7 @@ def durable(df: DataFrame) -> DataFrame:
         named = spark.conf.get("spark.checkpoint.dir", "")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     done = df.checkpoint(eager=True)
+    gc.collect()  # Python's unreachable frames hold plans of the driver
     context._jvm.System.gc()  # shuffle files of dropped plans are freed when the driver collects garbage
     return done
 
