@@ -34,6 +34,16 @@ def durable(df: DataFrame) -> DataFrame:
     return done
 
 
+def only(df: DataFrame, ids: DataFrame, id_column: str, bound: int = 1_000_000) -> DataFrame:
+    """The rows of df whose id stands in `ids` (distinct, one column).
+
+    Up to `bound` ids, 8 MB of longs, go to every task, so that df stays where it is; above
+    it, df is dealt out by id.
+    """
+    small = ids.count() <= bound
+    return df.join(F.broadcast(ids) if small else ids, id_column, "left_semi")
+
+
 def id_type(df: DataFrame, column: str) -> T.DataType:
     return df.schema[column].dataType
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import connected_components, durable, map_sorted_groups, starts, text_of, utf8_rows
+from tessera.llm.common import connected_components, durable, map_sorted_groups, only, starts, text_of, utf8_rows
 
 HASHES = 128
 BITS = 4
@@ -288,9 +288,10 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_column:
         wanted = found.select(F.col("a").alias("id")).unionAll(found.select(F.col("b").alias("id"))).distinct()
         if sets is not None:
             wanted = wanted.join(sets.select("id"), "id", "left_anti")
-        once = full_sets(texts.join(wanted.join(repeated, "id", "left_anti"), "id", "left_semi").select("id", "text"), size)
+        wanted = durable(wanted)
+        once = full_sets(only(texts, wanted.join(repeated, "id", "left_anti"), "id"), size)
         if repeats:  # only ids that stand in several rows can give a set twice
-            once = once.unionAll(full_sets(texts.join(wanted.join(repeated, "id", "left_semi"), "id", "left_semi").select("id", "text").distinct(), size).distinct())
+            once = once.unionAll(full_sets(only(texts, wanted.join(repeated, "id", "left_semi"), "id").distinct(), size).distinct())
         fresh = durable(once)
         sets = fresh if sets is None else sets.unionAll(fresh)
         links.append(durable(confirmed(pairs, sets, percent)))
