@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tessera.llm.common import only
 from tessera.llm.decontamination import best_distance, find_leaks
 from tessera.llm.embeddings import near_vectors
 from tessera.llm.licenses import Automaton, license_scan
@@ -245,3 +246,13 @@ def test_near_duplicates_of_a_large_loose_group(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 64)
     got = near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3, 85).collect()
     assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_only_gives_the_same_rows_either_way(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, None), (None, "d")], "id long, text string")
+    ids = spark.createDataFrame([(1,), (3,), (9,)], "id long")
+    wanted = [(1, "a"), (1, "b"), (3, None)]
+    for bound in (0, 2, 3, 1_000_000):
+        assert sorted(map(tuple, only(df, ids, "id", bound).collect()), key=str) == sorted(wanted, key=str)
+    assert only(df, ids.limit(0), "id").isEmpty()
+    assert only(df.limit(0), ids, "id", 0).isEmpty()
