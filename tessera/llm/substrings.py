@@ -1,97 +1,217 @@
-"""Repeated passages by content-defined chunking.
+"""Repeated passages, exact to the byte, found by content-defined seeds.
 
-Operators: ``chunks``, ``repeated_passages``, ``drop_repeats``. A gear rolling hash over the last 32 bytes of
-UTF-8 text cuts where its high bits are zero, so cuts depend on near-by bytes alone and an insertion moves
-only the chunks it touches. Chunks are deduplicated by a 128-bit digest; runs of chunks that also stand
-in another document are joined to passages, and passages of at least `least` bytes are reported. The
-first place of a chunk, by document id and start, is the one kept.
+Operators: ``seeds``, ``repeated_passages``, ``drop_repeats``. A stretch of `least` bytes of UTF-8 text, here a
+window, is repeated if the same bytes also stand in another row; passages are the unions of a row's repeated
+windows that touch. So every passage of `least` bytes or more that two rows share is found, wherever it lies.
 
-With an average chunk of 2**`bits` bytes, a repeated passage of p bytes has about p - 32 - 2 * 2**`bits` bytes in
-whole chunks; the default finds passages of fifty words and leaves single common sentences alone.
+The seed of a window is the leftmost of its grams of 2**`bits` bytes with the smallest hash. Equal windows
+have equal seeds, in text without any variety too. Neighbouring windows with the same seed are one
+stretch. Only stretches whose gram also stands in another row are kept; a stretch that another row
+holds as it is, is repeated as a whole; where a gram has different surroundings, the windows of each
+different stretch are compared one by one. Half of a window lies before its seed or behind it, so only windows
+on a side whose half stands in another such stretch can be repeated. No step lines up pairs of rows.
 
-Edge cases: null and empty texts have no chunks; a text without any cut is cut every `most` bytes; null ids are
-reported as null; rows that repeat an id are told apart by their place only; empty tables give empty
-results; other columns are ignored.
+Hashes have 64 bits; those of a gram and of a stretch are compared together.
+
+Edge cases: null and empty texts, and those of fewer than `least` bytes, have no passages; rows are told apart
+by their place in the input, so null and repeated ids are rows like others and null ids are reported as
+null; what repeats within one row alone isn't reported; empty tables give empty results; other
+columns are ignored. The input is read more than once and has to give its rows in the same order, as files do.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import id_type, text_of, utf8_rows
+from tessera.llm.common import durable, id_type, slices, text_of, utf8_rows
 
-GEAR = np.random.default_rng(20260104).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
+BYTES = np.random.default_rng(20260104).integers(0, 1 << 63, 256, dtype=np.uint64)
+FACTORS = np.random.default_rng(20260105).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def rolling(data: np.ndarray) -> np.ndarray:
-    """The gear hash behind each byte, h = (h << 1) + gear[byte] in 32 bits: five doublings of the window."""
-    h = GEAR[data]
-    for k in (1, 2, 4, 8, 16):
-        h[k:] = h[k:] + (h[:-k].copy() << np.uint32(k))
+def joined(left: np.ndarray, right: np.ndarray, k: int) -> np.ndarray:
+    """A hash of two hashes."""
+    h = left * FACTORS[k] + right
+    h ^= h >> np.uint64(32)
+    h *= FACTORS[k + 32]
+    h ^= h >> np.uint64(29)
     return h
 
 
-def cuts(data: bytes, bits: int, least: int, most: int) -> list[int]:
-    """Ends of the chunks."""
-    n = len(data)
-    if not n:
-        return []
-    h = rolling(np.frombuffer(data, dtype=np.uint8))
-    found = (np.nonzero((h >> np.uint32(32 - bits)) == 0)[0] + 1).tolist()
-    out, last = [], 0
-    for at in [*found, n]:
-        while at - last > most:
-            last += most
-            out.append(last)
-        if at - last >= least or at == n and at > last:
-            out.append(at)
-            last = at
-    return out
-
-
-def chunks(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", bits: int = 5, least: int = 16, most: int = 4096) -> DataFrame:
-    """(id, start, end, d1, d2): byte places and digest of each chunk."""
-    out = T.StructType([T.StructField("id", id_type(df, id_column))] + [T.StructField(c, T.LongType()) for c in ("start", "end", "d1", "d2")])
+def hashes(data: np.ndarray, bits: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the gram and of the window that begin at each byte, as far as there are windows."""
+    h = grams = BYTES[data]
+    k = 0
+    while 2 << k <= least:
+        h = joined(h[: -1 << k], h[1 << k :], k)
+        k += 1
+        if k == bits:
+            grams = h
+    n = len(data) - least + 1
+    return grams, joined(h[:n], h[least - (1 << k) :][:n], 31)
+
+
+def smallest(keys: np.ndarray, width: int) -> np.ndarray:
+    """Of each run of `width` keys."""
+    n, size = len(keys) - width + 1, 1
+    while 2 * size <= width:
+        keys = np.minimum(keys[:-size], keys[size:])
+        size *= 2
+    return np.minimum(keys[:n], keys[width - size :][:n])
+
+
+def stretches(texts: list[bytes], bits: int, least: int) -> tuple[np.ndarray, ...]:
+    """(text, first window, windows behind it << 32 | bytes before the seed, hashes of the gram, the stretch and the seed's two sides)."""
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    if len(data) < least:
+        return (np.zeros(0, np.int64),) * 6
+    grams, windows = hashes(data, bits, least)
+    keys = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
+    seed = (smallest(keys, least - (1 << bits) + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    place = np.nonzero(owner[: len(windows)] == owner[least - 1 :])[0]
+    at = seed[place]
+    new = np.ones(len(place), dtype=bool)
+    new[1:] = (at[1:] != at[:-1]) | (place[1:] != place[:-1] + 1)
+    begin = np.nonzero(new)[0]
+    if not len(begin):
+        return (np.zeros(0, np.int64),) * 6
+    first, last, at = place[begin], place[np.append(begin[1:], len(place)) - 1], at[begin]
+    whole = joined(joined(windows[first], windows[last], 29), ((last - first) << 32 | (at - first)).astype(np.uint64), 30)
+    text = owner[first]
+    half = (least - (1 << bits)) // 2
+    sides = []  # anything where no window of the stretch holds that half
+    for sign in (-1, 1):
+        side = grams[at]
+        for d in [*range(1 << bits, half, 1 << bits), half]:
+            side = joined(side, grams[np.clip(at + sign * d, 0, len(grams) - 1)], 28)
+        sides.append(side >> np.uint64(32))
+    return text, first - (np.cumsum(sizes) - sizes)[text], (last - first) << 32 | (at - first), grams[at].view(np.int64), whole.view(np.int64), (sides[0] << np.uint64(32) | sides[1]).view(np.int64)
+
+
+def numbered(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(id, row, text): each row has a key of its own."""
+    return df.select(F.col(id_column).alias("id"), F.monotonically_increasing_id().alias("row"), text_of(text_column).alias("text"))
+
+
+def seeds(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", bits: int = 5, least: int = 112) -> DataFrame:
+    """(id, row, start, shape, gram, whole, sides): the stretches of windows with the same seed, see `stretches`."""
+    out = T.StructType([T.StructField("id", id_type(df, id_column))] + [T.StructField(c, T.LongType()) for c in ("row", "start", "shape", "gram", "whole", "sides")])
+
+    def run(batches):
+        for batch in batches:
+            texts = utf8_rows(batch, 2)
+            for a, b in slices([len(t) for t in texts], 1 << 15):  # arrays that fit a core's cache
+                text, *columns = stretches(texts[a:b], bits, least)
+                if len(text):
+                    index = pa.array(text + a)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(1).take(index), *map(pa.array, columns)], out.names)
+
+    return numbered(df, id_column, text_column).mapInArrow(packed(run), out)
+
+
+def shared_seeds(df: DataFrame, id_column: str, text_column: str, bits: int, least: int) -> DataFrame:
+    """Those of `seeds` whose gram is also the gram of one in another row."""
+    found = seeds(df, id_column, text_column, bits, least)  # read twice: cheaper than to keep every stretch on disk
+    shared = found.groupBy("gram").agg(F.min("row").alias("one"), F.max("row").alias("other")).where("one <> other").select("gram")
+    return found.join(shared, "gram")
+
+
+def packed(run):
+    """`run` with its small batches put together."""
+
+    def some(batches):
+        held, rows = [], 0
+        for batch in run(batches):
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= 1 << 16:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, rows = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    return some
+
+
+def single_windows(docs: DataFrame, asked: DataFrame, bits: int, least: int) -> DataFrame:
+    """(id, row, start, several, at, window): the windows that begin `low` to `high` bytes behind the start of each stretch of `asked`."""
+    names = ["start", "several", "low", "high"]
+    lists = asked.groupBy("row").agg(F.collect_list(F.struct(*names)).alias("asked"))
+    out = T.StructType([T.StructField("id", docs.schema["id"].dataType)] + [T.StructField(c, T.BooleanType() if c == "several" else T.LongType()) for c in ("row", "start", "several", "at", "window")])
 
     def run(batches):
-        digest = xxhash.xxh3_128_digest
         for batch in batches:
-            index, begins, ends, digests = [], [], [], []
-            for k, data in enumerate(utf8_rows(batch, 1)):
-                at = cuts(data, bits, least, most)
-                index.append(np.full(len(at), k))
-                begins += [0, *at[:-1]] if at else []
-                ends += at
-                last = 0
-                for a in at:
-                    digests.append(digest(data[last:a]))
-                    last = a
-            if digests:
-                d = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(index))), pa.array(begins, pa.int64()), pa.array(ends, pa.int64()), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], out.names)
-
-    return df.select(F.col(id_column), text_of(text_column).alias("text")).mapInArrow(run, out)
+            texts = utf8_rows(batch, 2)
+            for a, b in slices([len(t) for t in texts], 1 << 20):
+                part = batch.slice(a, b - a)
+                lengths = part.column(3).value_lengths().to_numpy()
+                start, several, low, high = (c.to_numpy(zero_copy_only=False) for c in part.column(3).flatten().flatten())
+                text = np.repeat(np.arange(b - a), lengths)
+                sizes = np.array([len(t) for t in texts[a:b]], dtype=np.int64)
+                begin = (np.cumsum(sizes) - sizes)[text] + start + low
+                data = np.frombuffer(b"".join(texts[a:b]), dtype=np.uint8)
+                for x, y in slices((high - low + least).tolist(), 1 << 16):
+                    count = high[x:y] - low[x:y] + 1
+                    width = count + least - 1
+                    behind = np.cumsum(width) - width
+                    cut = data[np.repeat(begin[x:y] - behind, width) + np.arange(int(width.sum()))]
+                    which = np.repeat(np.arange(y - x), count)
+                    nth = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+                    windows = hashes(cut, bits, least)[1].view(np.int64)[behind[which] + nth]
+                    row = pa.array(text[x:y][which])
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), *(pa.array(c[x:y][which]) for c in (start, several)), pa.array(low[x:y][which] + nth), pa.array(windows)], out.names)
+
+    return docs.join(lists, "row").select("id", "row", "text", "asked").mapInArrow(packed(run), out)
 
 
 def repeated_passages(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: int = 112, bits: int = 5) -> DataFrame:
     """(id, start, end, n_chunks, first_id, kept): one row for each passage (UTF-8 byte places) that also stands elsewhere.
 
-    first_id is the smallest id that holds the passage's first chunk; kept marks passages of
-    which this is the first place for every chunk.
+    n_chunks counts the stretches in it. first_id is the id of the first row, by id with nulls first and then by
+    place in the input, that holds the passage's first window; kept marks passages in which the first
+    place of each of their windows lies.
     """
-    found = chunks(df, id_column, text_column, bits)  # read twice: cheaper than to keep every chunk on disk
-    several = found.groupBy("d1", "d2").agg(F.min(F.struct("id", "start")).alias("first"), F.max("id").alias("last")).where("first.id <> last").select("d1", "d2", "first")
-    again = found.join(several, ["d1", "d2"]).select("id", "start", "end", F.col("first.id").alias("first_id"), F.col("first").eqNullSafe(F.struct("id", "start")).alias("is_first"))
-    by_doc = Window.partitionBy("id").orderBy("start", "end")
-    begins = F.coalesce(F.col("start") > F.max("end").over(by_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
-    runs = again.withColumn("begins", begins.cast("int")).withColumn("passage", F.sum("begins").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
-    passages = runs.groupBy("id", "passage").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_chunks"), F.min_by("first_id", "start").alias("first_id"), F.every("is_first").alias("kept"))
-    return passages.where(F.col("end") - F.col("start") >= least).select(F.col("id").alias(id_column), "start", "end", "n_chunks", "first_id", "kept")
+    if least < 2 << bits:
+        raise ValueError(f"least has to be {2 << bits} at least")
+    hits = durable(shared_seeds(df, id_column, text_column, bits, least))  # no plan of it is held, so its shuffles go
+    more, before, half = F.shiftright("shape", 32), F.col("shape").bitwiseAND(0xFFFFFFFF), (least - (1 << bits)) // 2
+    kinds = hits.groupBy("gram", "whole").agg(F.first("shape").alias("shape"), F.first("sides").alias("sides"), F.min(F.struct("id", "row", "start")).alias("first"), (F.min("row") != F.max("row")).alias("several"))
+    kinds = durable(kinds.select("gram", "whole", "sides", more.alias("more"), before.alias("before"), "several", "first"))
+
+    def asked(side, low, high):
+        """Of kinds with the same half beside the same gram, the windows that hold this half."""
+        of = kinds.withColumn("side", side)
+        same = of.groupBy("gram", "side").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "side")
+        return of.join(same, ["gram", "side"]).select("first.row", "first.start", "several", low.alias("low"), high.alias("high")).where("low <= high")
+
+    edge = F.col("before") - half
+    lists = asked(F.shiftright("sides", 32), F.lit(0).cast("long"), F.least("more", edge)).unionAll(asked(F.col("sides").bitwiseAND(0xFFFFFFFF), F.greatest(F.lit(0), edge + 1), F.col("more")))
+    windows = single_windows(numbered(df, id_column, text_column), lists, bits, least)
+    place = F.struct("id", "row", (F.col("start") + F.col("at")).alias("start"))
+    twice = windows.groupBy("window").agg(F.min(place).alias("first"), F.min("row").alias("one"), F.max("row").alias("other"), F.max("several").alias("any")).where("one <> other or any").select("window", "first")
+    again = windows.join(twice, "window").select("row", "start", "several", "at", F.col("first.id").alias("first_id"), F.when(F.col("first.row") == F.col("row"), F.col("first.start")).otherwise(-1).alias("origin"))
+    nth = F.when(F.col("several"), 0).otherwise(F.col("at") - F.row_number().over(Window.partitionBy("row", "start").orderBy("at")))
+    compared = again.withColumn("run", nth).groupBy("row", "start", "run").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.min_by("first_id", "at").alias("first_id"), F.min("origin").alias("origin"))
+    compared = durable(compared.withColumnsRenamed({"row": "_row", "start": "_start"}))
+    # The origin is where the first place of a run's windows begins, -1 if in another row. A kind in several rows is repeated as a whole; of another, the runs of windows that were found twice.
+    begins_with = F.when(F.col("low") == 0, F.col("first_id")).otherwise(F.col("first.id"))
+    several = F.col("several")
+    repeated = kinds.join(compared, (F.col("first.row") == F.col("_row")) & (F.col("first.start") == F.col("_start")), "left").where(several | F.col("low").isNotNull()).select(
+        "gram", "whole", "first", F.when(several, 0).otherwise(F.col("low")).alias("low"), F.when(several, F.col("more")).otherwise(F.col("high")).alias("high"),
+        F.when(several, begins_with).otherwise(F.col("first_id")).alias("first_id"), F.when(several, F.least("origin", "first.start")).otherwise(F.col("origin")).alias("origin"))
+    origin = F.when(F.col("first.row") == F.col("row"), F.col("origin")).otherwise(-1)
+    spans = hits.join(repeated, ["gram", "whole"]).select("id", "row", (F.col("start") + F.col("low")).alias("start"), (F.col("start") + F.col("high") + least).alias("end"), "first_id", origin.alias("origin"))
+    by_row = Window.partitionBy("row").orderBy("start", "end")
+    begins = F.coalesce(F.col("start") > F.max("end").over(by_row.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    runs = spans.withColumn("begins", begins.cast("int")).withColumn("passage", F.sum("begins").over(by_row.rowsBetween(Window.unboundedPreceding, 0)))
+    passages = runs.groupBy("row", "passage").agg(F.first("id").alias("id"), F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_chunks"), F.min_by("first_id", "start").alias("first_id"), (F.min("origin") >= F.min("start")).alias("kept"))
+    return passages.select(F.col("id").alias(id_column), "start", "end", "n_chunks", "first_id", "kept")
 
 
 def drop_repeats(df: DataFrame, passages: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -256,3 +256,39 @@ def test_only_gives_the_same_rows_either_way(spark):
         assert sorted(map(tuple, only(df, ids, "id", bound).collect()), key=str) == sorted(wanted, key=str)
     assert only(df, ids.limit(0), "id").isEmpty()
     assert only(df.limit(0), ids, "id", 0).isEmpty()
+
+
+def repeated_bytes(texts, least=112):
+    """By row, the spans of bytes whose windows of `least` bytes also stand in another row, the first such window's first row, and whether all first places lie within."""
+    data = [(t or "").encode() for t in texts]
+    holders = {}
+    for k, d in enumerate(data):
+        for i in range(len(d) - least + 1):
+            holders.setdefault(d[i : i + least], []).append((k, i))
+    out = []
+    for k, d in enumerate(data):
+        spans = []
+        for i in range(len(d) - least + 1):
+            places = holders[d[i : i + least]]
+            if places[0][0] != places[-1][0]:
+                if not spans or i > spans[-1][1]:
+                    spans.append([i, 0, places[0][0], True])
+                spans[-1][1] = i + least
+                spans[-1][3] &= places[0] >= (k, spans[-1][0])
+        out += [(k, *s) for s in spans]
+    return out
+
+
+def test_repeated_passages_are_exact(spark):
+    """Passages down to `least` bytes wherever they lie, prose, few words over and over, and without any variety."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(rng.randrange(3, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    texts = [None, "", "short", "x" * 500, "x" * 111, "y" + "x" * 300 + "é" * 90]
+    for size in (111, 112, 113, 150, 255, 382, 900):
+        for kind in range(3):
+            passage = (text(200) if kind == 0 else "word and more " * 80 if kind == 1 else text(3) * 80)[:size]
+            texts += [text(rng.randrange(40)) + "<" + passage + ">" + text(30), text(rng.randrange(40)) + "(" + passage + ")" + text(30) + "[" + passage + "]"]
+    texts += [texts[-1], texts[-1][7:], texts[-3][:400] + texts[8] + texts[-1][:200]]
+    got = repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.start, r.end, r.first_id, r.kept) for r in got) == repeated_bytes(texts)
