@@ -292,3 +292,12 @@ def test_repeated_passages_are_exact(spark):
     texts += [texts[-1], texts[-1][7:], texts[-3][:400] + texts[8] + texts[-1][:200]]
     got = repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.start, r.end, r.first_id, r.kept) for r in got) == repeated_bytes(texts)
+
+
+def test_repeated_passages_of_null_and_repeated_ids(spark):
+    rng = random.Random(10)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghijk") for _ in range(rng.randrange(3, 9))) for _ in range(n))
+    a, b, c = text(70), text(70), text(70)
+    rows = [(None, text(9) + a), (1, text(20) + a), (2, a + text(20)), (None, text(5) + b + text(5)), (None, b), (3, text(3) + c), (3, c + text(9)), (4, text(90))]
+    got = sorted(((r.doc_id, r.first_id, r.end - r.start >= len(a.encode()) - 200) for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(None, None, True)] * 3 + [(1, None, True), (2, None, True)] + [(3, 3, True)] * 2, key=str)
