@@ -4,7 +4,7 @@ STAGES lists (name, function); each function takes (spark, docs, sf_dir) and ret
 which run() writes as Parquet to the shared folder and rereads as the next stage's docs.
 
 Every stage works on all rows it is given; null texts count as empty ones; rows with a null id are kept
-by all stages but carry no label, link or leak.
+by all stages unless they hold a benchmark item themselves; they carry no label or link.
 """
 
 from __future__ import annotations
@@ -39,7 +39,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_leaks(docs, find_leaks(docs, table(spark, sf_dir, "benchmark")))
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())  # ids may be null or repeated; files give the same rows each time
+    return drop_leaks(rows, find_leaks(rows, table(spark, sf_dir, "benchmark"), id_column="_row"), id_column="_row").drop("_row")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

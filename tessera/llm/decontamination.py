@@ -177,6 +177,6 @@ def find_leaks(df: DataFrame, items: DataFrame, id_column: str = "doc_id", text_
 
 
 def drop_leaks(df: DataFrame, leaks: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """The documents in which no item was found. Rows with a null id are kept unless such a row leaked."""
+    """The documents in which no item was found, by `id_column`: to decide on each row, give both the key of a row. Rows with a null key are kept."""
     found = leaks.select(F.col(id_column).alias("_leaked")).distinct()
-    return df.join(found, F.col(id_column).eqNullSafe(F.col("_leaked")), "left_anti")
+    return df.join(found, F.col(id_column) == F.col("_leaked"), "left_anti")

@@ -1,0 +1,26 @@
+"""Stages of corpus_pipeline on small rows with null and repeated ids."""
+
+import random
+
+import corpus_pipeline
+
+ROW = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def prose(seed: int, n: int = 40) -> str:
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("klmnopqr") for _ in range(5)) for _ in range(n))
+
+
+def documents(spark, texts):
+    return spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in texts], ROW)
+
+
+def test_decontaminate_decides_by_row(spark, tmp_path):
+    item = prose(1, 30)
+    spark.createDataFrame([(7, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    leaked = [(None, "x " + item), (5, item + " y"), (6, item)]
+    clean = [(None, prose(2)), (None, None), (5, prose(3)), (8, prose(4))]
+    got = corpus_pipeline.decontaminate(spark, documents(spark, leaked + clean), str(tmp_path))
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(clean, key=str)
