@@ -139,7 +139,8 @@ def _spans(rule: Rule, order: int, text: Column) -> Column:
 def _verify_pattern(rule: Rule) -> str:
     """A cheap test: whether a row can have a match of the length asked for at all."""
     if rule.measured == 0 and rule.least > 1 and rule.pattern.endswith("]+"):
-        return f"{rule.pattern}"[:-1] + f"{{{max(1, rule.least - len(rule.pattern.split('[')[0]))},}}"
+        widest = parser.parse(rule.pattern)[:-1].getwidth()[1]  # of what stands before the last class
+        return f"{rule.pattern}"[:-1] + f"{{{max(1, rule.least - widest)},}}"
     return rule.pattern
 
 

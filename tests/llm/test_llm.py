@@ -301,3 +301,9 @@ def test_repeated_passages_of_null_and_repeated_ids(spark):
     rows = [(None, text(9) + a), (1, text(20) + a), (2, a + text(20)), (None, text(5) + b + text(5)), (None, b), (3, text(3) + c), (3, c + text(9)), (4, text(90))]
     got = sorted(((r.doc_id, r.first_id, r.end - r.start >= len(a.encode()) - 200) for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert got == sorted([(None, None, True)] * 3 + [(1, None, True), (2, None, True)] + [(3, 3, True)] * 2, key=str)
+
+
+def test_short_slack_tokens(spark):
+    texts = ["a xoxb-1234567890 b", "xoxp-12345678901", "xoxb-123456789", "xoxz-1234567890"]
+    got = {r.doc_id: [(s.kind, s.end - s.start) for s in r.secret_spans if s.kind == "slack"] for r in secret_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: [("slack", 15)], 1: [("slack", 16)], 2: [], 3: []}
