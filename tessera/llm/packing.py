@@ -65,7 +65,7 @@ class Lengths:
         if gap < 3:
             return None
         first = np.arange(gap - 2, 0, -1)
-        for a in first[(self.left[first] > 0) & (self.pairs[gap - first] > 0)][:64]:
+        for a in first[(self.left[first] > 0) & (self.pairs[gap - first] > 0)]:
             a = int(a)
             self.left[a] -= 1
             rest = self.pair(gap - a)

@@ -15,7 +15,7 @@ from tessera.llm.decontamination import best_distance, find_leaks
 from tessera.llm.embeddings import near_vectors
 from tessera.llm.licenses import Automaton, license_scan
 from tessera.llm.minhash import near_duplicates
-from tessera.llm.packing import pack, plan
+from tessera.llm.packing import Lengths, pack, plan
 from tessera.llm.quality import isotonic, score_quality
 from tessera.llm.secrets import BASE_RULES, NOTHING_ASKED, redact, secret_scan, trigram_query
 from tessera.llm.substrings import repeated_passages
@@ -307,3 +307,11 @@ def test_short_slack_tokens(spark):
     texts = ["a xoxb-1234567890 b", "xoxp-12345678901", "xoxb-123456789", "xoxz-1234567890"]
     got = {r.doc_id: [(s.kind, s.end - s.start) for s in r.secret_spans if s.kind == "slack"] for r in secret_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == {0: [("slack", 15)], 1: [("slack", 16)], 2: [], 3: []}
+
+
+def test_triple_tries_every_first_length():
+    """128 lengths whose rest is twice a length that is there once only, and one triple behind them."""
+    once = [int(bin(k)[2:], 3) for k in range(1, 129)]  # none is the mean of two others
+    counts = np.zeros(10_001, dtype=np.int64)
+    counts[[*once, *(10_000 - 2 * x for x in once if 2 * x < 3000), 5000, 2600, 2400]] = 1
+    assert sorted(Lengths(counts).triple(10_000)) == [2400, 2600, 5000]
