@@ -5,8 +5,8 @@ pieces, at least one of them stands unchanged in any such passage. Pieces are fo
 of the text's known words; around each hit the whole item is compared by Myers' bit-parallel edit
 distance, the passage's ends free.
 
-k is `budget` times n, rounded, but pieces keep `least` words at least. Items of fewer than
-`shortest` words are too common to be evidence and match nothing.
+k is `budget` times n, rounded; pieces are as short as k + 1 of them need. Items of fewer than
+`shortest` words are matched exactly, k = 0.
 
 The items are a query set. They are cut into blocks of at most `block_words` words, each broadcast
 and matched against all documents in turn, so no broadcast grows beyond that.
@@ -69,12 +69,12 @@ def best_distance(pattern: list[int], window: list[int]) -> tuple[int, int]:
 class Matcher:
     """One block of items, ready to be looked for. Kept for a task."""
 
-    def __init__(self, items: list[tuple[object, str]], budget: float, least: int, shortest: int):
+    def __init__(self, items: list[tuple[object, str]], budget: float, shortest: int):
         self.items = []
         for key, text in items:
             words = words_of(text or "")
-            if len(words) >= shortest:
-                self.items.append((key, words, max(0, min(round(budget * len(words)), len(words) // least - 1))))
+            if words:
+                self.items.append((key, words, min(round(budget * len(words)), len(words) - 1) if len(words) >= shortest else 0))
         self.ids: dict[bytes, int] = {}
         for _, words, _ in self.items:
             for w in words:
@@ -142,7 +142,7 @@ class Matcher:
         return out
 
 
-def find_leaks(df: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", budget: float = 0.2, least: int = 4, shortest: int = 8, block_words: int = 2_000_000) -> DataFrame:
+def find_leaks(df: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", budget: float = 0.2, shortest: int = 8, block_words: int = 2_000_000) -> DataFrame:
     """(id, item, distance, edits_allowed, item_words, first_word, last_word): one row for each document and item found in it."""
     context = df.sparkSession.sparkContext
     blocks: list[list] = [[]]
@@ -160,7 +160,7 @@ def find_leaks(df: DataFrame, items: DataFrame, id_column: str = "doc_id", text_
         sent = context.broadcast(block)
 
         def run(batches):
-            matcher = Matcher(sent.value, budget, least, shortest)
+            matcher = Matcher(sent.value, budget, shortest)
             for batch in batches:
                 rows = []
                 for k, text in enumerate(batch.column(1).to_pylist()):

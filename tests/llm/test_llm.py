@@ -315,3 +315,21 @@ def test_triple_tries_every_first_length():
     counts = np.zeros(10_001, dtype=np.int64)
     counts[[*once, *(10_000 - 2 * x for x in once if 2 * x < 3000), 5000, 2600, 2400]] = 1
     assert sorted(Lengths(counts).triple(10_000)) == [2400, 2600, 5000]
+
+
+def test_leaks_at_the_whole_budget_and_of_short_items(spark):
+    """Items of every length: found with the edits that a fifth of the words allows, evenly spread, and not with one more."""
+    texts, items, want = [], [], []
+    for n in [*range(1, 26), 38]:
+        words = [f"w{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(words)))
+        budget = round(0.2 * n) if n >= 8 else 0
+        for edits in {0, budget, budget + 1}:
+            edited = list(words)
+            for j in range(edits):
+                edited[(2 * j + 1) * n // (2 * edits)] = "other"
+            texts.append("a b " + " ".join(edited) + " c d")
+            if edits <= budget:
+                want.append((len(texts) - 1, n, edits))
+    got = find_leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.distance) for r in got) == want
