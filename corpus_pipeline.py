@@ -57,7 +57,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("secrets", secrets), ("packing", packing)]
 
-#: The stages' models and hashes aren't expressible in SQL; tests hold the run against a brute-force version.
+#: The stages' models and hashes aren't expressible in SQL. Only decontaminate has a test; no test holds the whole run against a brute-force version yet.
 ORACLE_SQL = None
 
 
