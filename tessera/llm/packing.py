@@ -21,10 +21,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import durable, id_type, slices, text_of, utf8_rows
+from tessera.llm.common import durable, id_type, slices, text_of
 from tessera.llm.tokens import encoder
 
 
+#: Places, of 40 bytes each, that are broadcast at most.
+MOST = 500_000
+
+
 class Lengths:
     """Counts of lengths, with an index of the sums of two lengths that are there."""
 
@@ -144,21 +148,20 @@ def token_pieces(df: DataFrame, tokenizer: str, id_column: str, text_column: str
         task = TaskContext.get().partitionId()
         seen: dict[int, int] = {}
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            rows: list[tuple] = []
-            for a, b in slices([len(t) for t in texts], 1 << 20):
-                for k, ids in enumerate(encode(texts[a:b]), a):
+            for a, b in slices(batch.column(2).to_pylist(), 1 << 20):  # texts become Python's a slice at a time
+                index, piece, start, length, crc, nth = ([] for _ in range(6))
+                for k, ids in enumerate(encode(batch.column(1).slice(a, b - a).to_pylist()), a):
                     ids += end
-                    for piece, at in enumerate(range(0, len(ids), size)):
+                    for number, at in enumerate(range(0, len(ids), size)):
                         part = ids[at : at + size]
                         n = len(part) // 4
-                        nth = seen.get(n, 0)
-                        seen[n] = nth + 1
-                        rows.append((k, piece, at // 4, n, zlib.crc32(part), nth))
-            index, piece, start, length, crc, nth = (np.array(c, dtype=np.int64) for c in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 6
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc), pa.array(np.full(len(index), task, np.int32)), pa.array(nth)], out.names)
+                        before = seen.get(n, 0)
+                        seen[n] = before + 1
+                        index.append(k), piece.append(number), start.append(at // 4), length.append(n), crc.append(zlib.crc32(part)), nth.append(before)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc), pa.array([task] * len(index), pa.int32()), pa.array(nth)], out.names)
 
-    return df.select(F.col(id_column).alias("id"), text_of(text_column).alias("text")).mapInArrow(run, out)
+    text = text_of(text_column)
+    return df.select(F.col(id_column).alias("id"), text.alias("text"), F.octet_length(text).alias("size")).mapInArrow(run, out)
 
 
 def pack(df: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column: str = "text", capacity: int = 4096, end_id: int = 1) -> DataFrame:
@@ -174,8 +177,9 @@ def pack(df: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column:
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for row in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():  # `capacity` rows at most
         counts[row.length] = row.n
-    places = spark.createDataFrame(segments(plan(counts)), "length long, low long, high long, sequence long, offset long")
+    found = segments(plan(counts))
+    places = spark.createDataFrame(found, "length long, low long, high long, sequence long, offset long")
     ranked = pieces.join(first, ["length", "task"]).withColumn("rank", F.col("first") + F.col("nth"))
-    # The places depend on `capacity` alone: every step of the plan uses up what is left of some length.
-    placed = ranked.join(F.broadcast(places), (ranked.length == places.length) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
+    # The places depend on `capacity` alone: every step of the plan uses up what is left of some length. Beyond MOST, they aren't sent to all.
+    placed = ranked.join(F.broadcast(places) if len(found) <= MOST else places, (ranked.length == places.length) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     return placed.select(F.col("id").alias(id_column), "piece", "start", ranked.length.alias("length"), "ids_crc32", (F.col("sequence") + F.col("rank") - F.col("low")).alias("sequence_id"), "offset")

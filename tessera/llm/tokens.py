@@ -22,80 +22,126 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import id_type, slices, text_of
 
-#: Segments that an encoder remembers before it starts anew, so that its memory is bounded.
-MEMO = 500_000
+#: Segments that a memo remembers in each of its two generations, so that its memory is bounded.
+MEMO = 300_000
+
+
+class Memo(dict):
+    """Values of segments, worked out where they aren't known. Of two generations, the older goes when the younger is full."""
+
+    def __init__(self, work):
+        super().__init__()
+        self.work = work
+        self.old: dict = {}
+
+    def __missing__(self, segment: str):
+        value = self.old.get(segment)
+        if value is None:
+            value = self.work(segment)
+        if len(self) >= MEMO:
+            self.old = dict(self)
+            self.clear()
+        self[segment] = value
+        return value
+
+
+def is_latin(text: str) -> bool:
+    """Whether all characters are below U+0100, each of which is put in lower case by itself."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 class WordEncoder:
     """Encoder for BPE files whose pre-tokenizer drops white space, lower-cases and splits letters from marks.
 
     No token of such a file spans a space or line end, nor a letter or digit and a mark after it, so
-    a text's ids are those of its segments put together. Segments repeat, so their ids are
-    remembered; those not yet known are encoded in one batch. Special strings of the file hold no
-    white space and none of the marks split at, so they are found as in the whole text.
+    a text's ids are those of its segments put together. Segments repeat, so their ids or counts are
+    remembered. Special strings of the file hold no white space and none of the marks split at, so they
+    are found as in the whole text.
     """
 
     #: A mark after a letter or digit begins a part. The characters of special strings aren't among the marks.
     PARTS = re.compile(r'(?<=[0-9A-Za-zÀ-ÖØ-öø-ÿ])(?=[.,!?;:#%&$*()"=/-])')
+    #: A word of letters that keep to themselves in normal form, and perhaps marks.
+    LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:#%&$*()=/-]*)")
+    #: What the byte-level step makes of bytes beyond ASCII.
+    BYTES = {b: chr(290 + b - 128) for b in range(128, 161)} | {173: chr(323)}
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.segments: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def learn(self, wanted: set[str]) -> None:
-        """Makes the ids of all these segments known, forgetting others if there are too many."""
-        missing = {s for s in wanted if s not in self.segments}
-        if len(self.segments) + len(missing) > MEMO:
-            self.segments.clear()
-            missing = wanted
-        if len(self.parts) > MEMO:
-            self.parts.clear()
-        split = {s: [p.lower() if p.isascii() and "<" not in p else p for p in self.PARTS.split(s)] for s in missing}
-        new = {p for parts in split.values() for p in parts if p not in self.parts}
-        plain = [p for p in new if p.isascii() and p.isalpha()]
-        tokenize = self.tokenizer.model.tokenize
-        for p in plain:  # one pre-token, which the file's model takes as it is
-            ids = [x.id for x in tokenize(p)]
-            self.parts[p] = pack(f"<{len(ids)}I", *ids)
-        rest = list(new.difference(plain))
-        for p, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
-            self.parts[p] = np.array(e.ids, dtype="<u4").tobytes()
-        of = self.parts.__getitem__
-        for s, parts in split.items():
-            self.segments[s] = b"".join(map(of, parts))
-
-    def split(self, text: str, size: int):
-        """The text's segments, in lists of about `size` characters."""
+        self.tokenize = self.tokenizer.model.tokenize
+        self.packed = [pack("<I", k) for k in range(self.tokenizer.get_vocab_size())]
+        self.ids = Memo(self.ids_of)
+        self.counts = Memo(self.count_of)
+
+    def word(self, letters: str) -> list:
+        """The tokens of lower-case letters, which the file's model takes as one pre-token."""
+        return self.tokenize(letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.BYTES))
+
+    def library(self, segment: str) -> list[int]:
+        """The ids of any other segment, part by part."""
+        return [k for p in self.PARTS.split(segment) for k in self.tokenizer.encode(p, add_special_tokens=False).ids]
+
+    def ids_of(self, segment: str) -> bytes:
+        packed = self.packed
+        if segment.isascii() and segment.isalpha() and segment.islower():
+            return b"".join([packed[t.id] for t in self.tokenize(segment)])
+        plain = self.LATIN.fullmatch(segment)
+        if plain is None:
+            return b"".join([packed[k] for k in self.library(segment)])
+        letters, mark = plain.groups()
+        lower = letters.lower()
+        if mark:
+            return self.ids[lower] + self.ids_of_mark(mark)
+        if lower != segment:
+            return self.ids[lower]
+        return b"".join([packed[t.id] for t in self.word(lower)])
+
+    @lru_cache(maxsize=4096)  # noqa: B019
+    def ids_of_mark(self, mark: str) -> bytes:
+        return b"".join([self.packed[k] for k in self.library(mark)])
+
+    def count_of(self, segment: str) -> int:
+        if segment.isascii() and segment.isalpha() and segment.islower():
+            return len(self.tokenize(segment))
+        plain = self.LATIN.fullmatch(segment)
+        if plain is None:
+            return len(self.library(segment))
+        letters, mark = plain.groups()
+        lower = letters.lower()
+        if mark:
+            return self.counts[lower] + len(self.ids_of_mark(mark)) // 4
+        if lower != segment:
+            return self.counts[lower]
+        return len(self.word(lower))
+
+    def split(self, text: str, size: int = 1 << 20):
+        """The text's segments, in lists of about `size` characters, in lower case where that can't make a special string."""
         begin = 0
         while begin < len(text):
             end = begin + size
             if end < len(text):
                 end = text.find(" ", end)
                 end = len(text) if end < 0 else end
-            yield text[begin:end].replace("\n", " ").split(" ")
+            part = text[begin:end].replace("\n", " ")
+            if "<|" not in part and (part.isascii() or is_latin(part)):
+                part = part.lower()
+            yield part.split(" ")
             begin = end
 
-    def encode(self, texts: list[str], size: int = 1 << 20) -> list[bytes]:
+    def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, as little-endian unsigned 32-bit numbers."""
-        out = []
-        known = self.segments.__getitem__
-        if sum(map(len, texts)) <= size:
-            split = [t.replace("\n", " ").split(" ") for t in texts]
-            self.learn(set().union(*split))
-            return [b"".join(map(known, s)) for s in split]
-        for t in texts:
-            pieces = []
-            for s in self.split(t, size):
-                self.learn(set(s))
-                pieces.append(b"".join(map(known, s)))
-            out.append(b"".join(pieces))
-        return out
+        known = self.ids.__getitem__
+        return [b"".join([b"".join(map(known, s)) for s in self.split(t)]) for t in texts]
 
     def count(self, texts: list[str]) -> list[int]:
-        return [len(x) // 4 for x in self.encode(texts)]
+        known = self.counts.__getitem__
+        return [sum(sum(map(known, s)) for s in self.split(t)) for t in texts]
 
 
 class FileEncoder:
@@ -164,11 +210,10 @@ def token_counts(df: DataFrame, tokenizer: str, id_column: str = "doc_id", text_
     def run(batches):
         count = encoder(tokenizer).count
         for batch in batches:
-            texts = batch.column(1).to_pylist()
             sizes = batch.column(2).to_pylist()
             counts: list[int] = []
-            for a, b in slices(sizes, batch_bytes):
-                counts += count(texts[a:b])
+            for a, b in slices(sizes, batch_bytes):  # texts become Python's a slice at a time
+                counts += count(batch.column(1).slice(a, b - a).to_pylist())
             n = pa.array(counts, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), n, pa.array([x > limit for x in counts], pa.bool_())], [id_column, "n_bytes", "n_tokens", "over_limit"])
 
