@@ -37,8 +37,10 @@ def join(left: DataFrame, right: DataFrame, on: Column | None = None, kind: str
     """Equi-keys are taken out of `on` and the rest stays as its residual; null keys never match."""
     if kind not in KINDS:
         raise ValueError(f"join kind {kind!r} isn't supported")
-    if kind == "cross" or on is None:
+    if kind == "cross":
         return left.crossJoin(right)
+    if on is None:
+        raise ValueError(f"a join of kind {kind!r} needs a condition")
     if strategy != "auto":
         right = right.hint(STRATEGIES[strategy])
     return left.join(right, on, kind)
@@ -92,14 +94,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.persist()
 
 
-def insert(target: DataFrame, source: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """M1, M2: the target's rows and the source's, by position among `columns`; others become null."""
+def aligned(target: DataFrame, source: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """The source's rows in the target's shape, by position among `columns`; others become null."""
     columns = columns or target.columns
     if len(columns) != len(source.columns):
         raise ValueError(f"INSERT names {len(columns)} columns but gets {len(source.columns)}")
     named = source.toDF(*columns)
-    aligned = [(F.col(f.name) if f.name in columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in target.schema]
-    return target.unionByName(named.select(*aligned))
+    return named.select(*((F.col(f.name) if f.name in columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in target.schema))
+
+
+def insert(target: DataFrame, source: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """M1, M2: the target's rows and the source's."""
+    return target.unionByName(aligned(target, source, columns))
 
 
 def update(df: DataFrame, changes: dict[str, Column], predicate: Column | None = None) -> DataFrame:
