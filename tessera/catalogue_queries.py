@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import functions as X
 from tessera import operators as O
+from tessera.sources import Index, IndexedTable, Table, shared_folder
 from tessera.sql import Engine
 from tessera.streaming import tumbling_counts
 
@@ -64,6 +67,11 @@ text("agg_empty", "SELECT COUNT(*) AS n, MIN(n_name) AS lo FROM nation WHERE n_n
 text("having", "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey HAVING COUNT(*) > 15")
 text("group_no_agg", "SELECT l_returnflag, l_linestatus FROM lineitem GROUP BY l_returnflag, l_linestatus")
 text("agg_expression", "SELECT n_regionkey, SUM(n_nationkey) + 1 AS s FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, CAST(SUM(n_nationkey) + 1 AS BIGINT) AS s FROM nation GROUP BY n_regionkey")
+text("group_by_expression", "SELECT n_regionkey + 1 AS k, COUNT(*) AS n FROM nation GROUP BY n_regionkey + 1")
+text("group_by_predicate", "SELECT c_nationkey % 3 AS k, c_custkey > 50 AS late, MAX(c_custkey) AS hi FROM customer GROUP BY c_nationkey % 3, c_custkey > 50", "SELECT c_nationkey % 3 AS k, CAST(c_custkey > 50 AS BIGINT) AS late, MAX(c_custkey) AS hi FROM customer GROUP BY ALL")
+text("like_column", "SELECT a.n_name AS x, b.r_name AS y FROM nation a JOIN region b ON a.n_name LIKE '%' || b.r_name OR NOT b.r_name LIKE a.n_name")
+text("hex_literal", "SELECT x'4A4b' AS h, n_nationkey FROM nation WHERE n_nationkey = 3", "SELECT '4A4b' AS h, n_nationkey FROM nation WHERE n_nationkey = 3")
+text("qualified_star", "SELECT b.*, a.n_name AS n FROM nation a JOIN region b ON a.n_regionkey = b.r_regionkey")
 text("topn", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
 text("topn_offset", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 40")
 text("subquery", "SELECT sub.k FROM (SELECT n_nationkey AS k FROM nation WHERE n_regionkey > 1) AS sub WHERE sub.k < 20")
@@ -96,7 +104,7 @@ def _strategy(kind: str):
     return f
 
 
-for _kind in ("hash", "merge"):
+for _kind in ("hash", "merge", "loop"):
     _QUERIES[f"join_{_kind}_hint"] = _strategy(_kind)
     _SQL[f"join_{_kind}_hint"] = "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey"
 
@@ -132,6 +140,39 @@ def tumbling_window(spark, d):
     return tumbling_counts(_t(spark, d, "events"))
 
 
+def _layouts(spark, d, name: str, kind: str, key: list[str]) -> IndexedTable:
+    df = _t(spark, d, name)
+    table = IndexedTable(spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", Table(1, name, [], [Index(2, f"by_{kind}", kind, key)]))
+    table.write(df, partitions=8)
+    return table
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = 4 OR o_custkey >= 100 AND o_custkey < 130")
+def index_layout_range(spark, d):
+    wanted = (C("o_custkey") == 4) | ((C("o_custkey") >= 100) & (C("o_custkey") < 130))
+    return _layouts(spark, d, "orders", "btree", ["o_custkey", "o_orderkey"]).scan(wanted, set(), {"o_custkey"}).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 4")
+def index_layout_lookup(spark, d):
+    return _layouts(spark, d, "orders", "hash", ["o_custkey"]).scan(C("o_custkey") == 4, {"o_custkey"}).select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT p_partkey FROM part WHERE nullif(p_size, 5) IS NULL")
+def index_layout_nulls(spark, d):
+    df = _t(spark, d, "part").select("p_partkey", F.nullif(C("p_size"), L(5)).alias("size"))
+    table = IndexedTable(spark, f"{shared_folder(spark)}/part-{uuid.uuid4().hex}", Table(1, "part", [], [Index(2, "by_size", "btree", ["size"])]))
+    table.write(df, partitions=8)
+    return table.scan(C("size").isNull(), {"size"}).select("p_partkey")
+
+
+@query("SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")
+def materialized(spark, d):
+    kept = O.materialize(_t(spark, d, "nation"))
+    a, b = kept.alias("a"), kept.alias("b")
+    return O.join(a, b, C("a.n_regionkey") == C("b.n_regionkey")).select(C("a.n_nationkey").alias("x"), C("b.n_nationkey").alias("y"))
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 
 # Type codes of the catalog format.
@@ -106,3 +107,46 @@ def write_layout(df: DataFrame, path: str, index: Index, partitions: int = 200)
     for c in index.key:
         writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
     writer.parquet(path)
+
+
+def matching_index(indexes: list[Index], equal: set[str], ranged: set[str] = frozenset()) -> Index | None:
+    """The index that a predicate can use best: a hash index if its whole key is compared for equality, else the ordered one with the longest prefix of such columns, perhaps with a range behind it."""
+    best, found = (0, 0), None
+    for i in indexes:
+        prefix = next((k for k, c in enumerate(i.key) if c not in equal), len(i.key))
+        if i.kind == "btree":
+            uses = (2 * prefix + (prefix < len(i.key) and i.key[prefix] in ranged), 0)
+        else:
+            uses = (2 * prefix, 1) if prefix == len(i.key) else (0, 0)
+        if uses > best:
+            best, found = uses, i
+    return found
+
+
+class IndexedTable:
+    """A table kept once as it is and once more in the layout of each of its indexes; scans read the one that fits."""
+
+    def __init__(self, spark: SparkSession, folder: str, table: Table):
+        self.spark, self.folder, self.table = spark, folder.rstrip("/"), table
+
+    def path(self, index: Index | None) -> str:
+        return f"{self.folder}/{self.table.name if index is None else index.name}"
+
+    def write(self, df: DataFrame, partitions: int = 200) -> None:
+        df.write.mode("error").parquet(self.path(None))
+        for i in self.table.indexes:
+            write_layout(df, self.path(i), i, partitions)
+
+    def scan(self, predicate: Column, equal: set[str], ranged: set[str] = frozenset()) -> DataFrame:
+        """The rows for which the predicate holds, which compares the columns `equal` with constants and bounds those of `ranged`."""
+        return self.spark.read.parquet(self.path(matching_index(self.table.indexes, set(equal), set(ranged)))).where(predicate)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; only in local mode, where it may be unset, a temporary one of this machine."""
+    named = spark.conf.get("spark.checkpoint.dir", "")
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="tessera-")

@@ -1,5 +1,7 @@
 """Operators, front-end and snapshot tables on small rows, and registered queries against DuckDB."""
 
+import io
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,8 @@ from pyspark.sql import functions as F
 from tessera import catalogue_queries as Q
 from tessera import operators as O
 from tessera.functions import divide, like, modulo
-from tessera.sources import Catalog, CatalogError, read_csv
+from tessera.shell import Shell, create_tables, load_files
+from tessera.sources import Catalog, CatalogError, Index, IndexedTable, Table, matching_index, read_csv
 from tessera.sql import Engine, SqlError
 from tessera.storage import ConflictError, Database
 
@@ -108,6 +111,59 @@ def test_joins_of_every_kind(spark, strategy):
                 assert sorted(map(repr, (tuple(r) for r in O.join(a, b, on(a, b), kind, strategy).collect()))) == sorted(map(repr, want)), (kind, left, right)
 
 
+def scanned(df):
+    """Rows that the scan itself read."""
+    df.collect()
+    plan, todo = None, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        plan = todo.pop()
+        if plan.nodeName().startswith("Scan"):
+            return plan.metrics().apply("numOutputRows").value()
+        todo += [plan.children().apply(k) for k in range(plan.children().size())] + ([plan.executedPlan()] if "Adaptive" in plan.nodeName() else [])
+
+
+@pytest.mark.parametrize(("kind", "predicate", "equal", "ranged"), [("btree", "k >= 100 and k < 140", set(), {"k"}), ("hash", "k = 77", {"k"}, set()), ("btree", "k is null", {"k"}, set())])
+def test_layouts_prune(spark, tmp_path, kind, predicate, equal, ranged):
+    predicate = F.expr(predicate)
+    df = spark.range(8000).selectExpr("nullif(id % 2000, 5) as k", "id as v").repartition(4)
+    t = IndexedTable(spark, str(tmp_path), Table(1, "t", [("k", 1), ("v", 1)], [Index(2, "i", kind, ["k"])]))
+    t.write(df, partitions=16)
+    got = t.scan(predicate, equal, ranged)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, df.where(predicate).collect()), key=str)
+    assert scanned(got) <= 1600 < scanned(spark.read.parquet(t.path(None)).where(predicate))
+
+
+def test_matching_index():
+    a, b, h = Index(1, "a", "btree", ["x", "y"]), Index(2, "b", "btree", ["y"]), Index(3, "h", "hash", ["x", "y"])
+    assert matching_index([a, b, h], {"x", "y"}) is h
+    assert matching_index([a, b, h], {"x"}) is a
+    assert matching_index([a, b, h], {"x"}, {"y"}) is a
+    assert matching_index([a, b, h], set(), {"y"}) is b
+    assert matching_index([a, b, h], {"z"}) is None
+
+
+def test_shell_and_loader(spark, tmp_path):
+    c = Catalog()
+    c.add_table("kv", [("k", 1), ("v", 2)])
+    (tmp_path / "kv.csv").write_text("1,a\n22,\n")
+    (tmp_path / "ghost.csv").write_text("1\n")
+    db = Database(spark, str(tmp_path / "db"))
+    create_tables(db, c)
+    out = io.StringIO()
+    assert load_files(db, c, [str(tmp_path / "kv.csv"), str(tmp_path / "ghost.csv")], out) == 2
+    assert "skipped" in out.getvalue()
+    out = io.StringIO()
+    shell = Shell(db, out, prompt=False)
+    shell.run(["", "help", "SELECT k, v", "FROM kv ORDER BY k;", "INSERT INTO kv VALUES (3, 'c');", "SELECT nope FROM kv;", "quit", "SELECT 1"])
+    lines = out.getvalue().splitlines()
+    assert lines[1:4] == ["k   v", "1   a", "22  NULL"]
+    assert lines[4].startswith("(2 rows)") and lines[5].startswith("(1 rows)") and lines[6].startswith("Error: column 'nope'") and len(lines) == 7
+    (tmp_path / "kv.csv").write_text("x,a\n")
+    with pytest.raises(Exception, match="(?i)malformed|cast|parse"):
+        load_files(db, c, [str(tmp_path / "kv.csv")], io.StringIO())
+    assert db.execute("SELECT COUNT(*) AS n FROM kv").first().n == 3
+
+
 def test_catalog_and_csv(spark, tmp_path):
     c = Catalog()
     t = c.add_table("kv", [("k", 1), ("v", 2)])
