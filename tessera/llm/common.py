@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,31 +19,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cuts the lineage at files that every executor can read again.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; only in local mode, where it may be unset, a temporary one of this machine."""
+    named = spark.conf.get("spark.checkpoint.dir", "")
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="checkpoint-")
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where that is unset, as
-    in tests, a temporary folder of this machine is taken.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cuts the lineage at files that every executor can read again."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", "")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    done = df.checkpoint(eager=True)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the shuffle files of plans that are done go at once: Spark's cleaner removes them when the driver's collector finds the plans dead."""
     gc.collect()  # Python's unreachable frames hold plans of the driver
-    context._jvm.System.gc()  # shuffle files of dropped plans are freed when the driver collects garbage
-    return done
+    spark.sparkContext._jvm.System.gc()
 
 
-def only(df: DataFrame, ids: DataFrame, id_column: str, bound: int = 1_000_000) -> DataFrame:
-    """The rows of df whose id stands in `ids` (distinct, one column).
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing will read any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
-    Up to `bound` ids, 8 MB of longs, go to every task, so that df stays where it is; above
-    it, df is dealt out by id.
-    """
-    small = ids.count() <= bound
-    return df.join(F.broadcast(ids) if small else ids, id_column, "left_semi")
+
+def with_row_key(df: DataFrame, name: str) -> DataFrame:
+    """Gives each row a number of its own, the same however often it is read: of rows in files the hash of the file's path and the row's place there, of others their place."""
+    try:
+        return df.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(name))
+    except AnalysisException:
+        return df.withColumn(name, F.monotonically_increasing_id())
 
 
 def id_type(df: DataFrame, column: str) -> T.DataType:
@@ -65,10 +78,16 @@ def slices(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
         yield begin, len(sizes)
 
 
-def utf8_rows(batch: pa.RecordBatch, column: int) -> list[bytes]:
+def utf8_rows(column: pa.Array) -> list[bytes]:
     """The rows of a string column as UTF-8 bytes."""
-    kind = pa.large_binary() if pa.types.is_large_string(batch.column(column).type) else pa.binary()
-    return batch.column(column).cast(kind).to_pylist()
+    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+
+
+def utf8_slices(batch: pa.RecordBatch, column: int, limit: int = 1 << 21) -> Iterator[tuple[int, list[bytes]]]:
+    """The rows of a string column as UTF-8 bytes, about `limit` bytes at a time, each list with its first row's number."""
+    texts = batch.column(column)
+    for a, b in slices(pc.binary_length(texts).to_pylist(), limit):
+        yield a, utf8_rows(texts.slice(a, b - a))
 
 
 def map_sorted_groups(df: DataFrame, keys: list[str], schema: str, work: Callable[[pa.Table], pa.Table | None]) -> DataFrame:
@@ -135,7 +154,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = durable(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
     before = None
     while True:
-        print_of = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("u", "v").cast("decimal(20,0)")).alias("h")).first()
+        print_of = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (print_of.n, print_of.h) == before or not print_of.n:
             break
         before = (print_of.n, print_of.h)
