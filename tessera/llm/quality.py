@@ -3,8 +3,8 @@
 Operators: ``document_statistics``, ``fit_quality``, ``score_quality``. Random Fourier features approximate a
 Gaussian kernel over statistics of the text alone. Each partition sums its share of the normal
 equations; the sums are added up by cell before they reach the driver, which gets as many numbers
-as the square of the features, whatever the input's size. Raw ridge scores are calibrated by
-isotonic regression over a fixed grid of scores.
+as `FOLDS` times the square of the features, whatever the input's size. Raw ridge scores are calibrated by
+isotonic regression over a fixed grid of scores that rows get from weights fitted without their fold.
 
 Edge cases: null and empty texts are scored by their statistics (all zero); labels that are null don't
 count, several labels of one document count each; without labels of both kinds every score is the share of
@@ -22,11 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import durable, id_type, text_of, utf8_rows
+from tessera.llm.common import durable, text_of, utf8_slices
 
 FEATURES = 192
 SEED = 20260101
 GRID = 1024
+FOLDS = 4
 MARKS = [np.frombuffer(s, dtype=np.uint8) for s in (b".", b",", b"|", b"!?", b"#$%&*@^~", b"<>{}[]\\/=_`", b";:'\"()-+")]
 NAMES = ["length", "words", "word_length", "upper", "lower", "digits", "space", "lines", "beyond_ascii", *(f"marks_{k}" for k in range(len(MARKS))), "entropy", "distinct", "most_common", "second_common", "repeated_lines", "adjacent_repeats", "one_letter"]
 
@@ -50,15 +51,18 @@ def statistics(data: bytes) -> list[float]:
     ]
 
 
-def document_statistics(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, features) for every row."""
-    out = T.StructType([T.StructField(id_column, id_type(df, id_column)), T.StructField("features", T.ArrayType(T.DoubleType()))])
+def document_statistics(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", others: tuple[str, ...] = ()) -> DataFrame:
+    """(id, the columns of `others`, features) for every row."""
+    taken = [id_column, *others]
+    out = T.StructType([*(df.schema[c] for c in taken), T.StructField("features", T.ArrayType(T.DoubleType()))])
+    n = len(taken)
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([statistics(x) for x in utf8_rows(batch, 1)], pa.list_(pa.float64()))], out.names)
+            for a, texts in utf8_slices(batch, n):
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, len(texts)) for k in range(n)), pa.array([statistics(x) for x in texts], pa.list_(pa.float64()))], out.names)
 
-    return df.select(F.col(id_column), text_of(text_column).alias("text")).mapInArrow(run, out)
+    return df.select(*taken, text_of(text_column).alias("_text")).mapInArrow(run, out)
 
 
 @dataclass
@@ -114,35 +118,43 @@ def fit_quality(labelled: DataFrame, ridge: float = 1e-3) -> Model:
     model = Model(np.array([stats[f"m{k}"] for k in range(d)]), np.where(scale > 1e-9, scale, 1.0), np.zeros(FEATURES + 1), np.zeros(2), np.zeros(2))
     width = FEATURES + 1
     upper = np.triu_indices(width)
+    size = len(upper[0]) + width
+    folded = labelled.select("features", F.col("good").cast("double"), F.col("n").cast("double"), F.pmod(F.xxhash64("features"), F.lit(FOLDS)).alias("fold"))
 
     def sums(batches):
-        gram, right = np.zeros((width, width)), np.zeros(width)
-        rows = 0
+        found = np.zeros((FOLDS, size))
         for batch in batches:
             z = model.expand(matrix(batch, 0))
-            y, w = (batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in (1, 2))
-            gram += (z * w[:, None]).T @ z
-            right += z.T @ y
-            rows += len(z)
-        if rows:
-            values = np.concatenate([gram[upper], right])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], ["cell", "value"])
-
-    parts = labelled.select("features", F.col("good").cast("double"), F.col("n").cast("double")).mapInArrow(sums, "cell long, value double")
-    cells = np.zeros(len(upper[0]) + width)
-    for row in parts.groupBy("cell").agg(F.sum("value").alias("value")).toLocalIterator():
+            y, w, fold = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3))
+            for k in np.unique(fold):
+                at = fold == k
+                found[k] += np.concatenate([((z[at] * w[at, None]).T @ z[at])[upper], z[at].T @ y[at]])
+        if found.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(found.size)), pa.array(found.ravel())], ["cell", "value"])
+
+    cells = np.zeros(FOLDS * size)
+    for row in folded.mapInArrow(sums, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).toLocalIterator():
         cells[row.cell] = row.value
-    gram = np.zeros((width, width))
-    gram[upper] = cells[: len(upper[0])]
-    gram = gram + np.triu(gram, 1).T
-    model.weights = np.linalg.solve(gram + ridge * max(n, 100) / FEATURES * np.eye(width), cells[len(upper[0]) :])
+    cells = cells.reshape(FOLDS, size)
+
+    def solved(total: np.ndarray) -> np.ndarray:
+        gram = np.zeros((width, width))
+        gram[upper] = total[: len(upper[0])]
+        gram = gram + np.triu(gram, 1).T
+        rows = gram[-1, -1]  # the constant's square, summed up
+        return np.linalg.solve(gram + ridge * max(rows, 100) / FEATURES * np.eye(width), total[len(upper[0]) :])
+
+    model.weights = solved(cells.sum(axis=0))
+    without = np.array([solved(cells.sum(axis=0) - c) for c in cells])  # rows are calibrated by weights that haven't seen them
 
     def raw(batches):
         for batch in batches:
-            k = np.clip(np.floor((model.raw(matrix(batch, 0)) + 0.5) / 2 * GRID), 0, GRID - 1).astype(np.int64)
+            fold = batch.column(3).to_numpy(zero_copy_only=False)
+            scores = (model.expand(matrix(batch, 0)) * without[fold]).sum(axis=1)
+            k = np.clip(np.floor((scores + 0.5) / 2 * GRID), 0, GRID - 1).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(k), batch.column(1), batch.column(2)], ["bin", "good", "n"])
 
-    bins = labelled.select("features", F.col("good").cast("double"), F.col("n").cast("double")).mapInArrow(raw, "bin long, good double, n double").groupBy("bin").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).orderBy("bin").collect()  # GRID rows at most
+    bins = folded.mapInArrow(raw, "bin long, good double, n double").groupBy("bin").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).orderBy("bin").collect()  # GRID rows at most
     model.knots = np.array([(r.bin + 0.5) / GRID * 2 - 0.5 for r in bins])
     flat = isotonic(np.array([r.good / r.n for r in bins]), np.array([r.n for r in bins]))
     # A small slope keeps the order of raw scores within a pooled stretch.
@@ -154,16 +166,17 @@ def held_out(id_column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string")) % 4 == 2, F.lit(False))
 
 
-def score_quality(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality") -> DataFrame:
-    """(id, held_out, score) for every row; learnt from the labels of rows that aren't held out."""
-    features = durable(document_statistics(df, id_column, text_column).withColumn("held_out", held_out(id_column)))
+def score_quality(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", others: tuple[str, ...] = ()) -> DataFrame:
+    """(id, the columns of `others`, held_out, score) for every row; learnt from the labels of rows that aren't held out."""
+    features = durable(document_statistics(df, id_column, text_column, others).withColumn("held_out", held_out(id_column)))
     counted = labels.where(F.col(label_column).isNotNull()).groupBy(F.col(id_column).alias("_labelled")).agg(F.sum(label_column).alias("good"), F.count(F.lit(1)).alias("n"))
-    labelled = durable(features.where("not held_out").join(counted, F.col(id_column) == F.col("_labelled")).select("features", "good", "n"))
-    model = fit_quality(labelled)
-    out = T.StructType([T.StructField(id_column, id_type(df, id_column)), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType())])
+    labelled = features.where("not held_out").select(F.col(id_column).alias("_id"), "features").join(counted, F.col("_id") == F.col("_labelled"))
+    model = fit_quality(durable(labelled.select("features", "good", "n")))
+    taken = [id_column, *others, "held_out"]
+    out = T.StructType([*(features.schema[c] for c in taken), T.StructField("score", T.DoubleType())])
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model.score(matrix(batch, 2)))], out.names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(taken))), pa.array(model.score(matrix(batch, len(taken))))], out.names)
 
-    return features.select(id_column, "held_out", "features").mapInArrow(run, out)
+    return features.select(*taken, "features").mapInArrow(run, out)
