@@ -20,14 +20,16 @@ null ids pass through; empty tables give an empty result; other columns are igno
 from __future__ import annotations
 
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import id_type, text_of
+from tessera.llm.common import id_type, slices, text_of
 
 #: ASCII other than letters and digits separates words.
 TO_SPACE = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -92,6 +94,8 @@ class Matcher:
             bits[[h >> 46 for h in found]] = True
             self.filters[n] = bits
 
+        self.words_of_item = [frozenset(ids) for ids in self.coded]
+
     @staticmethod
     def hashes(ids: np.ndarray, n: int) -> np.ndarray:
         """Of each run of n ids."""
@@ -101,42 +105,54 @@ class Matcher:
                 out = out * BASE + ids[k : len(ids) - n + 1 + k]
             return out ^ (out >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
 
-    def search(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item, distance, first word, last word) of the best passage for each item found."""
+    def numbers(self, text: str, block: int = 1 << 20) -> np.ndarray:
+        """The text's words as numbers, 0 for those of no item; long texts are read in blocks that end at a space."""
+        out, at = [], 0
+        while at < len(text):
+            end = text.find(" ", at + block)
+            end = len(text) if end < 0 else end
+            words = words_of(text[at:end])
+            out.append(np.fromiter(map(self.ids.get, words, repeat(0)), dtype=np.uint64, count=len(words)))
+            at = end
+        return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+
+    def search(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
+        """(text, item, distance, first word, last word) of the best passage for each item found in each text."""
         if not self.items:
             return []
-        words = words_of(text)
-        ids = np.fromiter((self.ids.get(w, 0) for w in words), dtype=np.uint64, count=len(words))
-        del words
-        windows: dict[int, set[int]] = {}
-        # Only runs of known words can hold a piece.
-        known = np.concatenate([[False], ids > 0, [False]])
-        change = np.nonzero(known[1:] != known[:-1])[0]
-        shortest = min(self.pieces)
-        for a, b in zip(change[::2], change[1::2], strict=True):
-            if b - a < shortest:
+        numbers = [self.numbers(t) for t in texts]
+        sizes = np.array([len(x) for x in numbers], dtype=np.int64)
+        begin = np.cumsum(sizes + 1) - sizes  # an unknown word parts the texts
+        ids = np.zeros(int((sizes + 1).sum()) + 1, dtype=np.uint64)
+        for x, at in zip(numbers, begin.tolist(), strict=True):
+            ids[at : at + len(x)] = x
+        del numbers
+        unknown = np.concatenate([[0], np.cumsum(ids == 0)])
+        windows: dict[tuple[int, int], set[int]] = {}
+        for n, found in self.pieces.items():
+            at = np.nonzero(unknown[n:] == unknown[:-n])[0]  # only runs of known words can be a piece
+            if not len(at):
                 continue
-            run = ids[a:b]
-            for n, found in self.pieces.items():
-                if len(run) < n:
-                    continue
-                h = self.hashes(run, n)
-                for p in np.nonzero(self.filters[n][(h >> np.uint64(46)).astype(np.int64)])[0]:
-                    for item, place in found.get(int(h[p]), ()):
-                        windows.setdefault(item, set()).add(int(a) + int(p) - place)
+            h = self.hashes(ids, n)[at]
+            hit = np.nonzero(self.filters[n][(h >> np.uint64(46)).astype(np.int64)])[0]
+            texts_of = np.searchsorted(begin, at[hit], side="right") - 1
+            for p, x, k in zip(at[hit].tolist(), h[hit].tolist(), texts_of.tolist(), strict=True):
+                for item, place in found.get(x, ()):
+                    windows.setdefault((k, item), set()).add(p - place)
         out = []
-        for item, begins in windows.items():
-            pattern, edits = self.coded[item], self.items[item][2]
+        for (k, item), begins in windows.items():
+            pattern, known, edits = self.coded[item], self.words_of_item[item], self.items[item][2]
+            low_end, high_end = int(begin[k]), int(begin[k] + sizes[k])
             best = None
-            reached = -1
-            for begin in sorted(begins):
-                if begin == reached:
+            for at in sorted(begins):
+                low, high = max(low_end, at - edits), min(high_end, at + len(pattern) + edits)
+                window = ids[low:high].tolist()
+                if sum(map(known.__contains__, window)) < len(pattern) - edits:  # each word that isn't edited away is there
                     continue
-                reached = begin
-                low, high = max(0, begin - edits), min(len(ids), begin + len(pattern) + edits)
-                distance, end = best_distance(pattern, ids[low:high].tolist())
-                if distance <= edits and (best is None or distance < best[1]):
-                    best = (item, distance, max(0, low + end - len(pattern) + 1), low + end)
+                distance, end = best_distance(pattern, window)
+                if distance <= edits and (best is None or distance < best[2]):
+                    last = low + end - low_end
+                    best = (k, item, distance, max(0, last - len(pattern) + 1), last)
             if best:
                 out.append(best)
         return out
@@ -163,10 +179,10 @@ def find_leaks(df: DataFrame, items: DataFrame, id_column: str = "doc_id", text_
             matcher = Matcher(sent.value, budget, shortest)
             for batch in batches:
                 rows = []
-                for k, text in enumerate(batch.column(1).to_pylist()):
-                    for item, distance, first, last in matcher.search(text):
+                for a, b in slices(pc.binary_length(batch.column(1)).to_pylist(), 1 << 20):
+                    for k, item, distance, first, last in matcher.search(batch.column(1).slice(a, b - a).to_pylist()):
                         key, words, edits = matcher.items[item]
-                        rows.append((k, key, distance, edits, len(words), first, last))
+                        rows.append((a + k, key, distance, edits, len(words), first, last))
                 if rows:
                     c = list(zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(c[0], pa.int64())), pa.array(c[1]), *(pa.array(x, pa.int64()) for x in c[2:])], out.names)
