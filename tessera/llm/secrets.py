@@ -2,16 +2,15 @@
 
 Operator: ``secret_scan``. Each rule's regular expression is parsed into a Boolean query over the
 trigrams that every match must hold. The trigrams which some rule asks for are indexed: postings
-(trigram, document) are gathered by document, the rules' queries are evaluated on them, and only
-documents that satisfy a rule's query are verified with its expression. Rules without mandatory
-trigrams scan every document.
+(trigram, text) meet the queries by trigram, and for each way to satisfy a rule the texts that stand in the postings of all its
+trigrams are its candidates; only they are verified with the rule's expression. Rules without mandatory trigrams scan every
+document. The index names a text by its hash, so rows of the same text are looked up together, whatever their ids.
 
 Spans are in code points, end exclusive; matches of a rule are leftmost and don't overlap. A match whose
 `measured` group is shorter than `least` is dropped after matching.
 
-Edge cases: a null or empty text has no spans; ids may be null or repeated (candidates are a superset by
-id, each row is verified on its own text); an empty table gives an empty result; other columns, if
-asked for by `keep`, pass through.
+Edge cases: a null or empty text has no spans; ids may be null or repeated, each row is verified on its own text; an
+empty table gives an empty result; other columns, if asked for by `keep`, pass through.
 """
 
 from __future__ import annotations
@@ -19,7 +18,6 @@ from __future__ import annotations
 import re._constants as C
 import re._parser as parser
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,12 +109,6 @@ def trigram_query(pattern: str) -> Query:
     return frozenset(q for q in query if not any(p < q for p in query))
 
 
-def _holds(query: Query, found: Column) -> Column:
-    """The query on a document's array of trigrams."""
-    ways = [reduce(lambda a, b: a & b, (F.array_contains(found, t) for t in sorted(q))) for q in sorted(query, key=sorted)]
-    return reduce(lambda a, b: a | b, ways)
-
-
 def _spans(rule: Rule, order: int, text: Column) -> Column:
     """Array of (start, order, end, kind). The pieces between matches and the matches themselves give the places."""
     pattern = rule.pattern
@@ -151,17 +143,19 @@ def secret_scan(df: DataFrame, rules: list[Rule] | None = None, id_column: str =
     indexed = {k: q for k, q in asked.items() if q != NOTHING_ASKED}
     trigrams = sorted({t for q in indexed.values() for s in q for t in s})
     docs = df.select(F.col(id_column).alias("_id"), text_of(text_column).alias("_text"), *(F.col(c).alias(f"_keep_{c}") for c in keep))
-    empty = F.array().cast("array<int>")
     if trigrams:
-        lower = docs.select("_id", F.translate("_text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("_lower"))
+        docs = docs.withColumn("_key", F.xxhash64("_text"))
+        lower = docs.select("_key", F.translate("_text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("_lower"))
         found = F.array_compact(F.array(*(F.when(F.contains("_lower", F.lit(t)), F.lit(t)) for t in trigrams)))
-        postings = lower.select("_id", F.explode(found).alias("trigram"))
-        by_doc = postings.groupBy("_id").agg(F.collect_set("trigram").alias("found"))
-        ways = F.array_compact(F.array(*(F.when(_holds(q, F.col("found")), F.lit(k)) for k, q in indexed.items())))
-        candidates = by_doc.select(F.col("_id").alias("_candidate"), ways.alias("_rules")).where(F.size("_rules") > 0)
-        docs = docs.join(candidates, F.col("_id").eqNullSafe(F.col("_candidate")), "left")
+        postings = lower.select("_key", F.explode(found).alias("trigram"))
+        # A row for each trigram of each way to satisfy a rule; more than 60 of a way would only narrow it further.
+        asks = [(t, k, w, 1 << n, (1 << min(len(q), 60)) - 1) for k, query in indexed.items() for w, q in enumerate(sorted(query, key=sorted)) for n, t in enumerate(sorted(q)[:60])]
+        queries = df.sparkSession.createDataFrame(asks, "trigram string, rule int, way int, bit long, all_bits long")
+        held = postings.join(queries, "trigram").groupBy("_key", "rule", "way", "all_bits").agg(F.bit_or("bit").alias("bits")).where("bits = all_bits")
+        candidates = held.groupBy(F.col("_key").alias("_candidate")).agg(F.collect_set("rule").alias("_rules"))  # as many as there are rules at most
+        docs = docs.join(candidates, F.col("_key") == F.col("_candidate"), "left")
     else:
-        docs = docs.withColumn("_rules", empty)
+        docs = docs.withColumn("_rules", F.array().cast("array<int>"))
     none = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string,size:int>>")
     parts = []
     for k, rule in enumerate(rules):
