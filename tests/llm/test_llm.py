@@ -10,15 +10,14 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm.common import only
-from tessera.llm.decontamination import best_distance, find_leaks
+from tessera.llm.decontamination import best_distance, find_leaks, words_of
 from tessera.llm.embeddings import near_vectors
-from tessera.llm.licenses import Automaton, license_scan
+from tessera.llm.licenses import TEMPLATES, Automaton, Scanner, license_scan
 from tessera.llm.minhash import near_duplicates
 from tessera.llm.packing import Lengths, pack, plan
-from tessera.llm.quality import isotonic, score_quality
+from tessera.llm.quality import NAMES, fit_quality, isotonic, score_quality
 from tessera.llm.secrets import BASE_RULES, NOTHING_ASKED, redact, secret_scan, trigram_query
-from tessera.llm.substrings import repeated_passages
+from tessera.llm.substrings import drop_repeats, repeated_passages
 from tessera.llm.tokens import token_counts
 from tessera.llm.urls import url_filter
 
@@ -40,6 +39,26 @@ def test_empty_tables(spark, docs):
         assert df.collect() == []
 
 
+def test_empty_pages_and_vectors(spark):
+    assert url_filter(spark.createDataFrame([], "page_id long, url string"), [("block", "com", "/")]).collect() == []
+    assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
+
+
+def test_other_columns_change_nothing(spark, docs):
+    """Columns with the names that operators use inside, repeated rows, null ids, empty and very long texts."""
+    plain = docs.select("doc_id", "text")
+    names = "id row key size n h1 comp spans score start end piece length task rank low features fold _key _rules trigram item distance hash held_out component_id kept".split()
+    other = plain.select("doc_id", "text", *(F.lit("clash").alias(n) for n in names))
+    labels = spark.createDataFrame([(k, k % 2, "clash") for k in range(9)], "doc_id long, quality int, features string")
+    items = spark.createDataFrame([(1, "the end of it"), (2, "null id")], "item_id long, text string")
+    count = 0
+    for work in (lambda d: token_counts(d, PATH), lambda d: pack(d, PATH).drop("sequence_id", "offset"), license_scan, lambda d: secret_scan(d), near_duplicates, lambda d: repeated_passages(d, least_words=3), lambda d: score_quality(d, labels), lambda d: find_leaks(d, items)):
+        want = sorted(map(str, work(plain.coalesce(1)).collect()))
+        assert sorted(map(str, work(other.coalesce(1)).collect())) == want
+        count += len(want)
+    assert count > 60
+
+
 def test_token_counts(docs):
     t = Tokenizer.from_file(PATH)
     want = sorted((len((x or "").encode()), len(t.encode(x or "", add_special_tokens=False).ids)) for x in [*ODD, "null id", "a"])
@@ -47,12 +66,12 @@ def test_token_counts(docs):
 
 
 def test_pack(docs):
+    """Every id of every row is in one place, in order, and sequences are gapless."""
     t = Tokenizer.from_file(PATH)
     rows = pack(docs, PATH, capacity=64).collect()
-    ids = {k: [*t.encode(x or "", add_special_tokens=False).ids, 1] for k, x in enumerate(ODD) if k != 3}
-    for r in rows:
-        if r.doc_id in ids:
-            assert r.ids_crc32 == zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], dtype="<u4").tobytes())
+    want = [(r.doc_id, [*t.encode(r.text or "", add_special_tokens=False).ids, 1]) for r in docs.collect()]
+    pieces = sorted((str(k), n, at, len(ids[at : at + 64]), zlib.crc32(np.array(ids[at : at + 64], dtype="<u4").tobytes())) for k, ids in want for n, at in enumerate(range(0, len(ids), 64)))
+    assert sorted((str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in rows) == pieces
     by = {}
     for r in rows:
         by.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -62,6 +81,7 @@ def test_pack(docs):
             assert offset == at
             at += length
         assert at <= 64
+    assert len(by) <= -(-sum(len(ids) for _, ids in want) // 64) + 3
 
 
 def test_plan_fills_exactly():
@@ -91,6 +111,69 @@ def test_licenses(docs):
     assert sorted(r.phrase_labels) == ["apache-2", "cc-by-nc", "mit"]
 
 
+def test_license_matches_against_brute_force():
+    rng = random.Random(11)
+    for _ in range(60):
+        words = [f"w{k}" for k in range(rng.choice([3, 6, 30]))]
+        templates = [("t", " ".join(rng.choice(words) for _ in range(rng.randrange(3, 20)))) for _ in range(3)]
+        phrases = {" ".join(rng.choice(words) for _ in range(2)): "p"}
+        text = " ".join(rng.choice([*words, "zz"]) for _ in range(60))
+        if rng.random() < 0.5:
+            text += " " + templates[0][1] + " zz " + templates[1][1]
+        scanner = Scanner(phrases, templates, 3, 2, 0.75)
+        said = text.split()
+        all_texts = [p.split() for p in phrases] + [t.split() for _, t in templates]
+        known = {tuple(t[i:j]): [] for t in all_texts for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
+        for n, (_, t) in enumerate(templates):
+            t = t.split()
+            for i in range(len(t)):
+                for j in range(i + 1, len(t) + 1):
+                    known[tuple(t[i:j])].append((n, i))
+        longest = [max((size for size in range(1, k + 2) if tuple(said[k + 1 - size : k + 1]) in known), default=0) for k in range(len(said))] + [0]
+        want = sorted((n, k + 1 - longest[k], i, longest[k]) for k in range(len(said)) if longest[k] >= 3 and longest[k + 1] != longest[k] + 1 for n, i in known[tuple(said[k + 1 - longest[k] : k + 1])])
+        places, found = scanner.matches(scanner.runs(text.encode())[1])
+        assert sorted((n, *m) for n, ms in found.items() for m in ms) == want
+        phrase = next(iter(phrases)).split()
+        assert sorted(p for p, _ in places) == [k for k in range(len(said) - 1) if said[k : k + 2] == phrase]
+
+
+def test_chains_cover_as_much_as_any():
+    rng = random.Random(12)
+    scanner = Scanner({"a b": "x"}, [("t", "a b c d")], 2, 2, 0.75)
+    for _ in range(200):
+        found = [(rng.randrange(30), rng.randrange(12), rng.randrange(2, 6)) for _ in range(rng.randrange(1, 7))]
+
+        def best(last, rest):
+            top = 0
+            for k, (at, place, size) in enumerate(rest):
+                over = 0
+                if last:
+                    over = max(0, last[0] + last[2] - at, last[1] + last[2] - place)
+                    gap = max(at + over - last[0] - last[2], place + over - last[1] - last[2])
+                    if over >= size or gap > 2 or place <= last[1]:
+                        continue
+                top = max(top, size - over + best((at, place, size), rest[k + 1 :]))
+            return top
+
+        got = list(scanner.chains(found))
+        assert got[0][0] == best(None, sorted(found))
+        assert all(a[2] < b[1] or b[2] < a[1] for k, a in enumerate(got) for b in got[:k])
+
+
+def test_license_spans(spark):
+    """A whole template with words changed and put in is one span; half of it is none; two copies are two."""
+    whole = TEMPLATES[1][1].split()
+    edited = [w for k, w in enumerate(whole) if k % 40 != 20]
+    edited[60:60] = ["really", "so"]
+    texts = ["Copyright " + " ".join(edited) + " end", " ".join(whole[: len(whole) // 2]), " ".join(whole) + " and then again " + " ".join(whole), None, ""]
+    rows = {r.doc_id: r for r in license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates=[TEMPLATES[1]]).collect()}
+    (span,) = rows[0].spans
+    assert (span.label, span.first, span.last) == ("mit", 1, len(edited)) and 0.9 < span.coverage < 1
+    assert rows[1].spans == [] and 0.4 < rows[1].score < 0.6
+    assert [(s.first, s.coverage) for s in sorted(rows[2].spans, key=lambda s: s.first)] == [(0, 1.0), (len(whole) + 3, 1.0)]
+    assert (rows[3].n_words, rows[3].spans, rows[3].score) == (0, [], 0.0)
+
+
 def test_urls(spark):
     rules = [("block", "com", "/en/"), ("allow", "example.com", "/en/7")]
     urls = ["http://A.Example.com/en/77?x", "http://b.com/en/7", "no", None, "x://com", "x://com/en/#a/b", "x://?q"]
@@ -147,24 +230,49 @@ def test_near_duplicates(spark):
     assert [rows[k].n_shingles for k in range(len(texts))] == [len(s) for s in sets]
 
 
-def test_near_vectors(spark):
+def brute_vectors(rows, threshold=0.98):
+    """{id: (links, component)} for rows (id, vector, label) with ids of their own."""
+    ids = [k for k, *_ in rows]
+    good = [v is not None and lab is not None and len(v) > 0 and None not in v and np.isfinite(v).all() and any(v) for _, v, lab in rows]
+    unit = [np.array(v, dtype=float) / np.abs(np.array(v, dtype=float)).max() if ok else None for (_, v, _), ok in zip(rows, good, strict=True)]
+    unit = [u if u is None else u / np.linalg.norm(u) for u in unit]
+    linked = {(i, j) for i in range(len(rows)) for j in range(i) if good[i] and good[j] and rows[i][2] == rows[j][2] and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= threshold}
+    comp = dict(zip(ids, ids, strict=True))
+    for _ in rows:
+        before = dict(comp)
+        for i, j in linked:
+            comp[ids[i]] = comp[ids[j]] = min(comp[ids[i]], comp[ids[j]])
+        if comp == before:
+            break
+    return {k: (sum(n in e for e in linked), comp[k]) for n, k in enumerate(ids)}
+
+
+@pytest.mark.parametrize(("kind", "block"), [("double", 64), ("float", 4096)])
+def test_near_vectors(spark, monkeypatch, kind, block):
+    from tessera.llm import embeddings
+
+    monkeypatch.setattr(embeddings, "BLOCK", block)
     rng = np.random.default_rng(4)
     centre = rng.normal(size=16)
-    vectors = [(centre + rng.normal(size=16) * 0.06).tolist() for _ in range(150)] + [rng.normal(size=16).tolist() for _ in range(100)]
+    vectors = [(centre + rng.normal(size=16) * 0.06) for _ in range(150)] + [rng.normal(size=16) for _ in range(100)] + [rng.normal(size=8) for _ in range(3)]
+    vectors = [v.astype("f4" if kind == "float" else "f8").tolist() for v in vectors]
     vectors += [vectors[0]] * 4
-    label = [k % 2 for k in range(len(vectors))]
-    rows = [(k, v, lab) for k, (v, lab) in enumerate(zip(vectors, label, strict=True))]
-    bad = [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903, vectors[0], None), (904, [], 1), (905, [None] * 16, 1)]
-    got = {r.vec_id: r for r in near_vectors(spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>, label int")).collect()}
-    x = np.array(vectors) / np.linalg.norm(vectors, axis=1, keepdims=True)
-    linked = (x @ x.T >= 0.98) & (np.array(label)[:, None] == np.array(label)[None, :])
-    np.fill_diagonal(linked, False)
-    comp = np.arange(len(x))
-    for _ in range(60):
-        comp = np.minimum(comp, np.where(linked, comp[None, :], 10**6).min(axis=1))
-    assert [got[k].n_links for k in range(len(x))] == linked.sum(axis=1).tolist()
-    assert [got[k].component_id for k in range(len(x))] == comp.tolist()
-    assert all((got[k].n_links, got[k].component_id, got[k].kept) == (0, k, True) for k, *_ in bad)
+    rows = [(k, v, k % 2) for k, v in enumerate(vectors)]
+    rows += [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903, vectors[0], None), (904, [], 1), (905, [None] * 16, 1), (906, [float("inf")] + vectors[0][1:], 1), (907, [-0.0, 1.0], 1), (908, [0.0, 1.0], 1), (909, [-0.0, -1.0], 1)]
+    tiny, huge = (1e-40, 1e35) if kind == "float" else (1e-200, 1e200)
+    rows += [(910, [tiny, 9 * tiny, tiny], 2), (911, [9 * tiny, tiny, tiny], 2), (912, [x * huge for x in vectors[0]], 1), (913, [2 * x * huge for x in vectors[0]], 1), (914, [x * tiny for x in (1, 9, 1)], 2)]
+    rows = [(k, None if v is None else [x if x is None else float(np.float32(x)) if kind == "float" else x for x in v], lab) for k, v, lab in rows]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int").withColumn("v", F.lit("clash")).withColumn("key", F.lit(1))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(df).collect()}
+    assert got == brute_vectors(rows)
+    assert near_vectors(df.limit(0)).collect() == []
+
+
+def test_near_vectors_of_null_and_repeated_ids(spark):
+    a, b = [1.0, 2.0, 3.0], [3.0, -1.0, 0.5]
+    rows = [(None, a, 1), (5, a, 1), (5, b, 1), (3, b, 1), (5, a, 1), (9, a, 1)]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=str) == sorted([(None, 0, None, True), (5, 2, 5, True), (5, 1, 3, False), (3, 1, 3, True), (5, 2, 5, True), (9, 2, 5, False)], key=str)
 
 
 def test_leaks(spark):
@@ -177,6 +285,54 @@ def test_leaks(spark):
     assert sorted((r.doc_id, r.item_id, r.distance) for r in got) == [(0, 7, 0), (1, 7, 3)]
 
 
+def closest(pattern, words):
+    """Smallest edit distance of the pattern to any stretch of the words."""
+    row = [0] * (len(words) + 1)
+    for i, c in enumerate(pattern):
+        new = [i + 1]
+        for j, d in enumerate(words):
+            new.append(min(row[j] + (c != d), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row)
+
+
+def test_leaks_against_brute_force(spark):
+    """All pairs of random texts and items of few words, with edits on both sides of the budget, null and repeated ids and clashing columns."""
+    rng = random.Random(13)
+    vocabulary = [f"w{k}" for k in range(40)]
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(3, 30)))) for k in range(25)] + [(7, "w1 w2 w3"), (None, "w4 W5, w6!")]
+    texts = []
+    for k in range(80):
+        words = [rng.choice([*vocabulary, "zz", "yy"]) for _ in range(rng.randrange(40))]
+        if k % 2:
+            edited = rng.choice(items)[1].split()
+            for _ in range(rng.randrange(6)):
+                at = rng.randrange(len(edited))
+                edited[at : at + 1] = rng.choice([[], ["xx"], [edited[at], "xx"]]) or ["xx"]
+            words[len(words) // 2 : len(words) // 2] = edited
+        texts.append((None if k % 9 == 0 else k // 2, " ".join(words)))
+    texts += [(1, None), (2, ""), *texts[:3]]
+    want = []
+    for doc, text in texts:
+        words = words_of(text or "")
+        for item, pattern in items:
+            pattern = words_of(pattern)
+            budget = round(0.2 * len(pattern)) if len(pattern) >= 8 else 0
+            if (distance := closest(pattern, words)) <= budget:
+                want.append((doc, item, distance, budget, len(pattern)))
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("item_id", F.lit("clash")).withColumn("distance", F.lit(9))
+    found = find_leaks(df, spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit("clash"))).collect()
+    assert len(want) > 20 and sorted(want, key=str) == sorted(((r.doc_id, r.item_id, r.distance, r.edits_allowed, r.item_words) for r in found), key=str)
+    unique = {k: t for k, t in texts if sum(k == x for x, _ in texts) == 1}
+    by_item = dict(items[:7])
+    for r in found:
+        if r.doc_id in unique and r.item_id in by_item:  # the passage named is as close as said, but for words at its beginning
+            passage = words_of(unique[r.doc_id])[max(0, r.first_word - r.edits_allowed) : r.last_word + 1]
+            assert closest(words_of(by_item[r.item_id]), passage) == r.distance
+    blocks = find_leaks(df, spark.createDataFrame(items, "item_id long, text string"), block_words=40).collect()
+    assert sorted(map(str, blocks)) == sorted(map(str, found))
+
+
 def test_best_distance():
     rng = random.Random(6)
     for _ in range(200):
@@ -190,14 +346,69 @@ def test_best_distance():
         assert best_distance(p, w)[0] == min(row)
 
 
+def repeated_words(texts, least):
+    """(text, start, end, words): stretches of words each `least` of which, byte by byte, also stand elsewhere."""
+    data = [(t or "").encode() for t in texts]
+    words = [[m.span() for m in re.finditer(rb"[^\t\n\x0b\x0c\r ]+", d)] for d in data]
+    places = {}
+    for d, w in zip(data, words, strict=True):
+        for i in range(len(w) - least + 1):
+            key = d[w[i][0] : w[i + least - 1][1]]
+            places[key] = places.get(key, 0) + 1
+    out = []
+    for k, (d, w) in enumerate(zip(data, words, strict=True)):
+        runs = []
+        for i in range(len(w) - least + 1):
+            if places[d[w[i][0] : w[i + least - 1][1]]] > 1:
+                if not runs or i > runs[-1][1]:
+                    runs.append([i, 0])
+                runs[-1][1] = i + least
+        out += [(k, w[i][0], w[j - 1][1], j - i) for i, j in runs]
+    return out
+
+
+def prose(rng):
+    word = lambda: "".join(rng.choice("abcdefghijklé") for _ in range(rng.randrange(2, 8)))
+    return lambda n: " ".join(word() for _ in range(n))
+
+
 def test_repeated_passages(spark):
-    rng = random.Random(7)
-    word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(rng.randrange(3, 9)))
-    text = lambda n: " ".join(word() for _ in range(n))
-    passage = text(70)
-    rows = [(0, text(100) + " " + passage + " " + text(40)), (1, passage + text(30)), (2, text(200)), (3, "spam " * 300), (4, None)]
-    got = {r.doc_id for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {0, 1}
+    """Passages around the least number of words, in two rows or one, few words over and over, without any variety, and long ones."""
+    rng = random.Random(1)
+    text = prose(rng)
+    texts = [None, "", "short", "x" * 500, "y" + "x" * 300]
+    for n in [*range(44, 58), 100, 300]:
+        p = text(n)
+        texts += [text(rng.randrange(60)) + " " + p + " " + text(rng.randrange(60)), text(rng.randrange(60)) + "\n" + p + "  " + text(30)]
+    p = text(70)
+    texts += [p + " " + text(20) + " " + p, text(200), "spam " * 300, "spam and more " * 30, text(30) + " " + "spam and more " * 40, text(20_000) + p + text(30), *[texts[10]] * 3]
+    got = repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("row", F.lit("clash")).withColumn("key", F.lit(1)).repartition(3)).collect()
+    want = repeated_words(texts, 50)
+    assert len(want) > 25
+    assert sorted((r.doc_id, r.n_words) for r in got) == sorted((k, n) for k, _, _, n in want)
+    for r, (k, start, end, _) in zip(sorted(got, key=lambda r: (r.doc_id, r.start)), sorted(want), strict=True):
+        data = texts[k].encode()
+        assert r.start <= start and r.end >= end and not data[r.start : start].strip() and not data[end : r.end].strip()
+    first = [r for r in got if r.doc_id in (10, len(texts) - 3, len(texts) - 2, len(texts) - 1)]
+    assert sum(r.kept for r in first) == 1
+
+
+def test_repeated_passages_of_null_and_repeated_ids(spark):
+    rng = random.Random(10)
+    text = prose(rng)
+    a, b, c = text(70), text(70), text(70)
+    rows = [(None, text(9) + " " + a), (1, text(20) + " " + a), (2, a + " " + text(20)), (None, text(5) + " " + b + " " + text(5)), (None, b), (3, text(3) + " " + c), (3, c + " " + text(9)), (4, text(90))]
+    got = sorted(((r.doc_id, r.n_words) for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()), key=str)
+    assert got == sorted([(None, 70)] * 3 + [(1, 70), (2, 70), (3, 70), (3, 70)], key=str)
+
+
+def test_drop_repeats_leaves_one_copy(spark):
+    rng = random.Random(14)
+    text = prose(rng)
+    p = text(80)
+    df = spark.createDataFrame([(0, text(30) + " " + p + " " + text(30)), (1, text(25) + " " + p), (2, None), (3, text(60))], "doc_id long, text string").coalesce(1)
+    out = {r.doc_id: r.text for r in drop_repeats(df, repeated_passages(df)).collect()}
+    assert p in out[0] and p not in out[1] and len(out[1].split()) == 25 and out[2] is None and len(out[3].split()) == 60
 
 
 def test_quality(spark):
@@ -213,6 +424,40 @@ def test_quality(spark):
     assert isotonic(np.array([1.0, 0.0, 2.0]), np.ones(3)).tolist() == [0.5, 0.5, 2.0]
 
 
+def test_quality_weights_are_those_of_one_matrix(spark):
+    """Partition sums give the ridge solution of the whole matrix; scores lie on a rising curve of the raw ones."""
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(300, len(NAMES)))
+    y = (x[:, 0] + 0.3 * rng.normal(size=300) > 0).astype(int)
+    n = rng.integers(1, 3, 300)
+    df = spark.createDataFrame([(r.tolist(), int(a * b), int(b)) for r, a, b in zip(x, y, n, strict=True)], "features array<double>, good long, n long").repartition(5)
+    model = fit_quality(df)
+    z = model.expand(x)
+    whole = np.linalg.solve((z * n[:, None]).T @ z + 1e-3 * n.sum() / (z.shape[1] - 1) * np.eye(z.shape[1]), z.T @ (y * n))
+    assert np.allclose(model.weights, whole, atol=1e-6)
+    order = np.argsort(model.raw(x))
+    assert (np.diff(model.score(x)[order]) >= 0).all() and ((model.score(x) >= 0.5) == y).mean() > 0.8
+    kernel = np.exp(-((x[:20, None] - x[None, :20]) / model.scale) ** 2 @ np.ones(len(NAMES)) / (4 * len(NAMES)))
+    assert np.abs(z[:20, :-1] @ z[:20, :-1].T - kernel).mean() < 0.15
+
+
+def test_quality_on_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r.score for r in score_quality(docs, labels).where("held_out").collect()}
+    known = {r.doc_id: r.quality for r in labels.collect() if r.doc_id in got}
+    assert len(known) > 50 and sum((got[k] >= 0.7) == (q == 1) for k, q in known.items()) >= 0.97 * len(known)
+    assert all((zlib.crc32(str(k).encode()) % 4 == 2) for k in got)
+
+
+def test_isotonic_against_brute_force():
+    rng = np.random.default_rng(16)
+    for _ in range(50):
+        v, w = rng.normal(size=8), rng.integers(1, 5, 8).astype(float)
+        # The k-th value is the largest mean of a stretch that ends at k or behind, at its smallest over the beginnings.
+        want = [max(min(np.average(v[i : j + 1], weights=w[i : j + 1]) for j in range(k, 8)) for i in range(k + 1)) for k in range(8)]
+        assert np.allclose(isotonic(v, w), want)
+
+
 def test_near_duplicates_of_a_large_loose_group(spark, monkeypatch):
     """Hundreds of copies whose similarities lie on both sides of the threshold: components equal brute force."""
     import random
@@ -248,61 +493,6 @@ def test_near_duplicates_of_a_large_loose_group(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
-def test_only_gives_the_same_rows_either_way(spark):
-    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, None), (None, "d")], "id long, text string")
-    ids = spark.createDataFrame([(1,), (3,), (9,)], "id long")
-    wanted = [(1, "a"), (1, "b"), (3, None)]
-    for bound in (0, 2, 3, 1_000_000):
-        assert sorted(map(tuple, only(df, ids, "id", bound).collect()), key=str) == sorted(wanted, key=str)
-    assert only(df, ids.limit(0), "id").isEmpty()
-    assert only(df.limit(0), ids, "id", 0).isEmpty()
-
-
-def repeated_bytes(texts, least=112):
-    """By row, the spans of bytes whose windows of `least` bytes also stand in another row, the first such window's first row, and whether all first places lie within."""
-    data = [(t or "").encode() for t in texts]
-    holders = {}
-    for k, d in enumerate(data):
-        for i in range(len(d) - least + 1):
-            holders.setdefault(d[i : i + least], []).append((k, i))
-    out = []
-    for k, d in enumerate(data):
-        spans = []
-        for i in range(len(d) - least + 1):
-            places = holders[d[i : i + least]]
-            if places[0][0] != places[-1][0]:
-                if not spans or i > spans[-1][1]:
-                    spans.append([i, 0, places[0][0], True])
-                spans[-1][1] = i + least
-                spans[-1][3] &= places[0] >= (k, spans[-1][0])
-        out += [(k, *s) for s in spans]
-    return out
-
-
-def test_repeated_passages_are_exact(spark):
-    """Passages down to `least` bytes wherever they lie, prose, few words over and over, and without any variety."""
-    rng = random.Random(9)
-    word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(rng.randrange(3, 9)))
-    text = lambda n: " ".join(word() for _ in range(n))
-    texts = [None, "", "short", "x" * 500, "x" * 111, "y" + "x" * 300 + "é" * 90]
-    for size in (111, 112, 113, 150, 255, 382, 900):
-        for kind in range(3):
-            passage = (text(200) if kind == 0 else "word and more " * 80 if kind == 1 else text(3) * 80)[:size]
-            texts += [text(rng.randrange(40)) + "<" + passage + ">" + text(30), text(rng.randrange(40)) + "(" + passage + ")" + text(30) + "[" + passage + "]"]
-    texts += [texts[-1], texts[-1][7:], texts[-3][:400] + texts[8] + texts[-1][:200]]
-    got = repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    assert sorted((r.doc_id, r.start, r.end, r.first_id, r.kept) for r in got) == repeated_bytes(texts)
-
-
-def test_repeated_passages_of_null_and_repeated_ids(spark):
-    rng = random.Random(10)
-    text = lambda n: " ".join("".join(rng.choice("abcdefghijk") for _ in range(rng.randrange(3, 9))) for _ in range(n))
-    a, b, c = text(70), text(70), text(70)
-    rows = [(None, text(9) + a), (1, text(20) + a), (2, a + text(20)), (None, text(5) + b + text(5)), (None, b), (3, text(3) + c), (3, c + text(9)), (4, text(90))]
-    got = sorted(((r.doc_id, r.first_id, r.end - r.start >= len(a.encode()) - 200) for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
-    assert got == sorted([(None, None, True)] * 3 + [(1, None, True), (2, None, True)] + [(3, 3, True)] * 2, key=str)
-
-
 def test_short_slack_tokens(spark):
     texts = ["a xoxb-1234567890 b", "xoxp-12345678901", "xoxb-123456789", "xoxz-1234567890"]
     got = {r.doc_id: [(s.kind, s.end - s.start) for s in r.secret_spans if s.kind == "slack"] for r in secret_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
