@@ -3,20 +3,20 @@
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame,
 which run() writes as Parquet to the shared folder and rereads as the next stage's docs.
 
-Every stage works on all rows it is given; null texts count as empty ones; rows with a null id are kept
-by all stages unless they hold a benchmark item themselves; they carry no label or link.
+Every stage works on all rows it is given and decides on each row, whatever its id: ids may be null or
+repeated. Null texts count as empty ones. All but the last return the columns they get, others than those of `documents`
+too; none of them may begin with an underscore. An empty table passes through.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import remove, shared_folder, table, with_row_key
 from tessera.llm.decontamination import drop_leaks, find_leaks
 from tessera.llm.minhash import near_duplicates
 from tessera.llm.packing import pack
@@ -25,47 +25,62 @@ from tessera.llm.secrets import redact, secret_scan
 
 #: Documents below this calibrated share of good labels are rejected.
 LEAST_SCORE = 0.5
+ROW = "_row"
+
+
+def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows whose key isn't in `dropped`, without the key."""
+    return rows.join(dropped.select(ROW).distinct(), ROW, "left_anti").drop(ROW)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = score_quality(docs, table(spark, sf_dir, "labels"))
-    rejected = scored.where(F.col("score") < LEAST_SCORE).select(F.col("doc_id").alias("_rejected")).distinct()
-    return docs.join(rejected, F.col("doc_id") == F.col("_rejected"), "left_anti")
+    """Rejects rows whose text scores below LEAST_SCORE, empty ones too if they do. Without labels of both kinds all rows have one score."""
+    rows = with_row_key(docs, ROW)
+    scored = score_quality(rows, table(spark, sf_dir, "labels"), others=(ROW,))
+    return without(rows, scored.where(F.col("score") < LEAST_SCORE))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = near_duplicates(docs, size=5, percent=80).where("not kept").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(copies, F.col("doc_id") == F.col("_copy"), "left_anti")
+    """Keeps one row of each group of near copies: five-word shingles, similarity of 0.8. Texts without words are in no group and stay."""
+    rows = with_row_key(docs, ROW)
+    return without(rows, near_duplicates(rows, size=5, percent=80, id_column=ROW).where("not kept"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())  # ids may be null or repeated; files give the same rows each time
-    return drop_leaks(rows, find_leaks(rows, table(spark, sf_dir, "benchmark"), id_column="_row"), id_column="_row").drop("_row")
+    """Drops rows that hold a benchmark item, within its budget of edits. An empty benchmark drops nothing."""
+    rows = with_row_key(docs, ROW)
+    return drop_leaks(rows, find_leaks(rows, table(spark, sf_dir, "benchmark"), id_column=ROW), id_column=ROW).drop(ROW)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scanned = secret_scan(docs, keep=("text", "lang", "source", "n_chars"))
+    """Keeps every row; each secret in a text is replaced by a mark, and n_chars, if there, is that of the new text."""
+    others = tuple(c for c in docs.columns if c != "doc_id")
     spans = F.col("secret_spans")
-    clean = F.when(F.size(spans) > 0, redact(F.col("text"), spans)).otherwise(F.col("text"))
-    counted = F.when(F.size(spans) > 0, F.length(clean).cast("long")).otherwise(F.col("n_chars"))
-    return scanned.select("doc_id", clean.alias("text"), "lang", "source", counted.alias("n_chars"))
+    changed = {"text": F.when(F.size(spans) > 0, redact(F.col("text"), spans)).otherwise(F.col("text"))}
+    if "n_chars" in others:
+        changed["n_chars"] = F.when(F.size(spans) > 0, F.length(changed["text"]).cast("long")).otherwise(F.col("n_chars"))
+    return secret_scan(docs, keep=others).select(*(changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs every row's tokens and an end id into sequences; a null or empty text is the end id alone."""
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("secrets", secrets), ("packing", packing)]
 
-#: The stages' models and hashes aren't expressible in SQL. Only decontaminate has a test; no test holds the whole run against a brute-force version yet.
+#: The stages' models and hashes aren't expressible in SQL; tests hold each stage and the run against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="pipeline-")
-    base = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. A stage's table goes when the next one is written."""
+    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
-        docs = spark.read.parquet(f"{base}/{name}")
+        path = f"{base}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
