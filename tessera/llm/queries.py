@@ -13,7 +13,7 @@ from tessera.llm.licenses import license_scan
 from tessera.llm.minhash import near_duplicates
 from tessera.llm.packing import pack
 from tessera.llm.quality import score_quality
-from tessera.llm.secrets import BASE_RULES, secret_scan
+from tessera.llm.secrets import BASE_RULES, MORE_RULES, secret_scan
 from tessera.llm.substrings import repeated_passages
 from tessera.llm.tokens import token_counts
 from tessera.llm.urls import url_filter
@@ -84,6 +84,56 @@ def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+OP4_SQL = """
+with recursive good as (
+  select vec_id, label, list_transform(embedding, lambda x: x::double) as v from embeddings
+  where vec_id is not null and label is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.vec_id as a, b.vec_id as b from good a join good b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v) and list_cosine_similarity(a.v, b.v) >= 0.98),
+reach(a, b) as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a),
+named as (select a, min(b) as lowest from reach group by a),
+counted as (select a, count(*) as n from links group by a)
+select e.vec_id, coalesce(c.n, 0) as n_links, least(e.vec_id, coalesce(n.lowest, e.vec_id)) as component_id, e.vec_id = least(e.vec_id, coalesce(n.lowest, e.vec_id)) as kept
+from embeddings e left join counted c on e.vec_id = c.a left join named n on e.vec_id = n.a
+"""
+
+OP8_SQL = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+shingles as (
+  select distinct doc_id, unnest(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from words),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as n from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+links as (select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * shared.n >= 85 * (x.n + y.n - shared.n)),
+reach(a, b) as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a),
+named as (select a, min(b) as lowest from reach group by a)
+select d.doc_id, coalesce(z.n, 0) as n_shingles, least(d.doc_id, coalesce(m.lowest, d.doc_id)) as component_id, d.doc_id = least(d.doc_id, coalesce(m.lowest, d.doc_id)) as kept
+from documents d left join sizes z on d.doc_id = z.doc_id left join named m on d.doc_id = m.a
+"""
+
+
+def op7_sql() -> str:
+    """The pieces between matches and the matches themselves, one behind the other, give the places."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rules = "\n  union all ".join(
+        f"select r, {k} as ord, {quoted(x.kind)} as kind, {x.least} as least, regexp_split_to_array(t, {quoted(x.pattern)}) as s, regexp_extract_all(t, {quoted(x.pattern)}, 0) as m, regexp_extract_all(t, {quoted(x.pattern)}, {x.measured}) as g from docs"
+        for k, x in enumerate(BASE_RULES + MORE_RULES)
+    )
+    counts = ", ".join(f"count(*) filter (ord = {k}) as n_{x.kind}" for k, x in enumerate(BASE_RULES))
+    return f"""
+with docs as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+matched as (
+  {rules}),
+single as (select r, ord, kind, least, unnest(range(1, len(m) + 1)) as i, unnest(list_transform(s[1:len(m)], lambda x: length(x))) as gap, unnest(list_transform(m, lambda x: length(x))) as w, unnest(list_transform(g, lambda x: length(x))) as p from matched),
+placed as (select *, sum(gap + w) over (partition by r, ord order by i) as e from single),
+spans as (select r, ord, (e - w)::bigint as b, kind || ':' || (e - w)::bigint || ':' || e::bigint as span from placed where p >= least),
+found as (
+  select r, {counts}, string_agg(span, ',' order by b, ord) filter (ord < {len(BASE_RULES)}) as base, string_agg(span, ',' order by b, ord) as spans from spans group by r)
+select doc_id, {", ".join(f"coalesce(n_{x.kind}, 0) as n_{x.kind}" for x in BASE_RULES)}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from docs left join found on docs.r = found.r
+"""
+
+
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
@@ -93,4 +143,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": OP6_SQL}
+    return {"op4_embeddings": OP4_SQL, "op6_url_filter": OP6_SQL, "op7_secrets": op7_sql(), "op8_minhash": OP8_SQL}

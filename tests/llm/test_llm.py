@@ -4,12 +4,14 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tessera.llm import queries
 from tessera.llm.decontamination import best_distance, find_leaks, words_of
 from tessera.llm.embeddings import near_vectors
 from tessera.llm.licenses import TEMPLATES, Automaton, Scanner, license_scan
@@ -523,3 +525,16 @@ def test_leaks_at_the_whole_budget_and_of_short_items(spark):
                 want.append((len(texts) - 1, n, edits))
     got = find_leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert sorted((r.doc_id, r.item_id, r.distance) for r in got) == want
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_against_duckdb(spark, name):
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    found = con.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in found.description]
+    want = sorted(str({n: r[k] for k, n in sorted(enumerate(names), key=lambda x: x[1])}) for r in found.fetchall())
+    df = queries.queries()[name](spark, folder)
+    assert sorted(str({c: r[c] for c in sorted(df.columns)}) for r in df.collect()) == want
