@@ -166,6 +166,12 @@ def index_layout_nulls(spark, d):
     return table.scan(C("size").isNull(), {"size"}).select("p_partkey")
 
 
+@query("SELECT c_name, o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_acctbal < 0")
+def index_join(spark, d):
+    few = _t(spark, d, "customer").where("c_acctbal < 0").select("c_custkey", "c_name")
+    return _layouts(spark, d, "orders", "btree", ["o_custkey"]).probe(few, {"o_custkey": "c_custkey"}).select("c_name", "o_orderkey")
+
+
 @query("SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")
 def materialized(spark, d):
     kept = O.materialize(_t(spark, d, "nation"))

@@ -42,10 +42,11 @@ def like(a: Column, pattern: str) -> Column:
     return a.like(like_pattern(pattern))
 
 
-def split_conjuncts(p: list) -> list:
-    """Flattens nested lists of conjuncts (P5)."""
-    return [q for x in p for q in (split_conjuncts(x) if isinstance(x, list) else [x])]
+def all_of(predicates: list[Column]) -> Column:
+    """P5: one predicate of several; Catalyst takes them apart again to push each as far down as it goes."""
+    return reduce(lambda a, b: a & b, predicates) if predicates else F.lit(True)
 
 
-def all_of(predicates: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, predicates, F.lit(True))
+def key_hash(*columns: Column | str) -> Column:
+    """A 64-bit hash of the columns' values; null is a value like others."""
+    return F.xxhash64(*columns)

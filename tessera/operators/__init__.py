@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import all_of
+
 #: Names of join strategies and the hints that ask for them; "auto" leaves the choice to size statistics and AQE.
 STRATEGIES = {"hash": "SHUFFLE_HASH", "merge": "MERGE", "loop": "SHUFFLE_REPLICATE_NL"}
 KINDS = {"inner", "left", "right", "full", "cross"}
@@ -54,10 +56,7 @@ def join_using(left: DataFrame, right: DataFrame, columns: list[str], kind: str
                 raise ValueError(f"column {c!r} isn't on both sides")
         if left.schema[c].dataType != right.schema[c].dataType:
             raise ValueError(f"column {c!r} has different types")
-    on = None
-    for c in columns:
-        on = left[c] == right[c] if on is None else on & (left[c] == right[c])
-    return left.join(right, on, kind)
+    return left.join(right, all_of([left[c] == right[c] for c in columns]), kind)
 
 
 def aggregate(df: DataFrame, keys: list[Column | str], outputs: dict[str, tuple[str, Column | None]], having: Column | None = None) -> DataFrame:

@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+import io
+from contextlib import redirect_stdout
+
 from pyspark.sql import DataFrame
 
+MODES = {"simple", "extended", "codegen", "cost", "formatted"}
+
 
 def explain(df: DataFrame, mode: str = "formatted") -> str:
-    jvm = df.sparkSession._jvm
-    return df._jdf.queryExecution().explainString(jvm.org.apache.spark.sql.execution.ExplainMode.fromString(mode))
+    """The plan as text: "extended" has the logical plans too, "formatted" the physical one in detail."""
+    if mode not in MODES:
+        raise ValueError(f"no mode {mode!r}")
+    out = io.StringIO()
+    with redirect_stdout(out):
+        df.explain(mode)
+    return out.getvalue()

@@ -10,6 +10,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from tessera.functions import all_of
+
 # Type codes of the catalog format.
 TYPES = {1: T.LongType(), 2: T.StringType()}
 
@@ -142,6 +144,16 @@ class IndexedTable:
         return self.spark.read.parquet(self.path(matching_index(self.table.indexes, set(equal), set(ranged)))).where(predicate)
 
 
+    def probe(self, left: DataFrame, keys: dict[str, str], kind: str = "inner") -> DataFrame:
+        """Joins `left` with the rows found by its columns in the table's; keys maps the table's columns to those of `left`.
+
+        The layout whose whole key is asked for is read, else any whose key begins with some of it. Where `left` is small, Catalyst sends it to
+        the table's files; where it is large, files ordered by the key keep a merge join's sort short.
+        """
+        found = self.spark.read.parquet(self.path(matching_index(self.table.indexes, set(keys))))
+        return left.join(found, all_of([left[theirs] == found[ours] for ours, theirs in keys.items()]), kind)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; only in local mode, where it may be unset, a temporary one of this machine."""
     named = spark.conf.get("spark.checkpoint.dir", "")

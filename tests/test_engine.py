@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tessera import catalogue_queries as Q
 from tessera import operators as O
-from tessera.functions import divide, like, modulo
+from tessera.functions import all_of, divide, key_hash, like, modulo
+from tessera.plans import explain
 from tessera.shell import Shell, create_tables, load_files
 from tessera.sources import Catalog, CatalogError, Index, IndexedTable, Table, matching_index, read_csv
 from tessera.sql import Engine, SqlError
@@ -133,6 +134,27 @@ def test_layouts_prune(spark, tmp_path, kind, predicate, equal, ranged):
     assert scanned(got) <= 1600 < scanned(spark.read.parquet(t.path(None)).where(predicate))
 
 
+def test_explain_and_pushdown(spark, tmp_path):
+    df = O.scan(spark, f"{SF}/lineitem.parquet", ["l_orderkey"], F.col("l_quantity") > 10)
+    plan = explain(df)
+    assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,10.0)]" in plan and "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
+    assert "== Optimized Logical Plan ==" in explain(df, "extended")
+    with pytest.raises(ValueError, match="mode"):
+        explain(df, "pretty")
+
+
+def test_join_strategies_are_taken(spark):
+    a, b = spark.range(10).toDF("x"), spark.range(10).toDF("y")
+    for strategy, node in (("hash", "ShuffledHashJoin"), ("merge", "SortMergeJoin"), ("loop", "CartesianProduct")):
+        assert node in explain(O.join(a, b, a.x == b.y, "inner", strategy), "simple")
+
+
+def test_key_hash_and_all_of(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (1, None), (None, None)], "x long, y string")
+    assert df.select(key_hash("x", "y").alias("h")).distinct().count() == 3
+    assert df.where(all_of([])).count() == 4 and df.where(all_of([F.col("x") == 1, F.col("y") == "a"])).count() == 2
+
+
 def test_matching_index():
     a, b, h = Index(1, "a", "btree", ["x", "y"]), Index(2, "b", "btree", ["y"]), Index(3, "h", "hash", ["x", "y"])
     assert matching_index([a, b, h], {"x", "y"}) is h
