@@ -7,7 +7,8 @@ of that size, each its own pass whose best match is kept by the same order.
 
 Host: behind the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z in lower case. Path: then up to
 ``?``, ``#`` or the end. A null url or one without ``://`` has an empty host and path and gets the
-default verdict. Repeated rows give repeated results; other columns are ignored.
+default verdict. Repeated rows give repeated results; of rules with the same host and path the last counts; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ class Trie:
             *whole, last = path.split("/")
             for segment in whole:
                 node = node.setdefault("/" + segment, {})
-            ends = node.setdefault("", {})  # starts of the next segment, by their text
-            ends[last] = (verdict, host + path, host.count(".") + 1, len(path))
+            ends = node.setdefault("", {})  # starts of the next segment, by their length and text
+            ends.setdefault(len(last), {})[last] = (verdict, host + path, host.count(".") + 1, len(path))
 
     def match(self, host: str, path: str) -> tuple[str, str, int, int] | None:
         """The winning rule: (verdict, rule, host labels, path length)."""
@@ -47,8 +48,9 @@ class Trie:
             at = node
             best = None
             for segment in segments:
-                for start, rule in at.get("", {}).items():
-                    if segment.startswith(start) and (best is None or rule[3] > best[3]):
+                for size, starts in at.get("", {}).items():
+                    rule = starts.get(segment[:size])
+                    if rule is not None and (best is None or rule[3] > best[3]):
                         best = rule
                 at = at.get("/" + segment)
                 if at is None:

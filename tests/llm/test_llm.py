@@ -527,6 +527,29 @@ def test_leaks_at_the_whole_budget_and_of_short_items(spark):
     assert sorted((r.doc_id, r.item_id, r.distance) for r in got) == want
 
 
+def test_urls_against_brute_force(spark):
+    """Many rules on few hosts, ties of length, very long urls, repeated rows, null ids and clashing columns."""
+    rng = random.Random(17)
+    part = lambda: "".join(rng.choice("ab") for _ in range(rng.randrange(0, 3)))
+    rules = {(".".join(rng.choice("xyz") for _ in range(rng.randrange(1, 4))), "/" + "/".join(part() for _ in range(rng.randrange(1, 4)))): rng.choice(["allow", "block"]) for _ in range(60)}
+    urls = ["http://" + ".".join(rng.choice("xyzX") for _ in range(rng.randrange(1, 5))) + "/" + "/".join(part() for _ in range(rng.randrange(1, 5))) + rng.choice(["", "?q/a", "#f"]) for _ in range(300)]
+    urls += [None, "", "x.y/a", "http://x/" + "a/" * 5000, "HTTP://X.Y", urls[0], urls[0]]
+    rows = [(None if k % 50 == 7 else k, u) for k, u in enumerate(urls)]
+
+    def judged(url):
+        rest = re.split("[?#]", (url or "").split("://", 1)[1])[0] if "://" in (url or "") else ""
+        host, slash, path = rest.partition("/")
+        host, path = host.lower(), slash + path
+        fits = [(h.count("."), len(p), h + p, v) for (h, p), v in rules.items() if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return (host, path, *(max(fits)[2:] if fits else (None, "allow")))
+
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("clash")).withColumn("rule", F.lit(1))
+    given = [(v, h, p) for (h, p), v in rules.items()]
+    for most in (200_000, 7):
+        got = [(r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filter(df, given, max_rules=most).collect()]
+        assert sorted(map(str, got)) == sorted(str((k, *judged(u))) for k, u in rows)
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_against_duckdb(spark, name):
     folder = "/root/testdata/sf0.001"
