@@ -159,6 +159,6 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", "")
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     return tempfile.mkdtemp(prefix="tessera-")
