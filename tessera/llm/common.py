@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -24,17 +25,39 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", "")
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     return tempfile.mkdtemp(prefix="checkpoint-")
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Holds settings of the session, with _ for the dots in their names, for what is run within."""
+    names = {k.replace("_", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+#: Rows of an Arrow batch. Texts come with ten thousand a batch by default, of which the JVM and Python each hold several.
+BATCH = "2000"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cuts the lineage at files that every executor can read again."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    with settings(spark, spark_sql_execution_arrow_maxRecordsPerBatch=BATCH):
+        return df.checkpoint(eager=True)
 
 
 def release(spark: SparkSession) -> None:
@@ -43,6 +66,12 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def fixed_splits(spark: SparkSession):
+    """Files are dealt out to partitions alike each time they are read within, though executors come and go meanwhile: Spark looks at their number."""
+    known = spark.conf.get("spark.sql.files.minPartitionNum", None)
+    return settings(spark, spark_sql_files_minPartitionNum=known or str(max(1, spark.sparkContext.defaultParallelism)))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder that nothing will read any more."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -147,8 +176,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of `edges` (src, dst); component is the smallest node reachable.
 
     Alternates large-star and small-star steps: each is one minimum by node, combined before the
-    shuffle, and one join that adaptive execution can split where a node has many neighbours. Steps
-    end when every edge points at its component's smallest node. Nothing but two numbers a
+    shuffle and written, and one join of plain shuffles, which adaptive execution can split where a node has
+    many neighbours. Steps end when every edge points at its component's smallest node. Nothing but two numbers a
     step reaches the driver.
     """
     now = durable(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
@@ -159,9 +188,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         before = (print_of.n, print_of.h)
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = durable(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        down = durable(large.groupBy("u").agg(F.min("v").alias("m")))
         joined = large.join(down, "u")
         now = durable(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(down.select("u", F.col("m").alias("v"))).distinct())
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -14,7 +14,8 @@ and matched against all documents in turn, so no broadcast grows beyond that.
 Words: lower-case text without ASCII marks, split at white space.
 
 Edge cases: null or empty texts and items match nothing; repeated documents and items are reported each;
-null ids pass through; empty tables give an empty result; other columns are ignored.
+null ids pass through; of passages equally close the first counts; texts of any length are read whole; empty tables
+give an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ links and a star for each set of linked vectors it saw, never all pairs. Compone
 Edge cases: vectors that are null, zero, empty or hold null or non-finite components, and rows with a null label
 or id, link with nothing; their component is their id. Components are scaled by the largest before they are squared, so
 tiny and huge vectors are like others. Vectors of different lengths never link. Repeated rows
-count as other vectors of the same id. Empty tables give empty results; other columns are ignored.
+count as other vectors of the same id. Empty tables give empty results; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -165,7 +165,7 @@ def near_vectors(df: DataFrame, threshold: float = 0.98, id_column: str = "vec_i
     classes = durable(classes.withColumn("rep", F.col("d1")))
     coded = durable(with_codes(classes, kind))
     keyed = coded.select("rep", F.posexplode("keys").alias("tab", "key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = durable(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     members = keyed.join(shared, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     members = members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.select("key", "tab", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "rep")

@@ -10,7 +10,8 @@ places are the words at which the automaton's state ends with the phrase.
 Words are runs of ASCII letters, digits and non-ASCII characters, A-Z in lower case.
 
 Edge cases: a null or empty text has no words, null first_word and last_word, empty labels and score 0;
-repeated rows give repeated results; an empty table gives an empty result; other columns are ignored.
+repeated rows give repeated results; chains that cover as much as another are taken from the front; long texts are read in
+blocks; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

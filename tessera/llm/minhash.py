@@ -22,7 +22,7 @@ The sets of all classes in buckets are written once; texts are dealt out by id o
 Edge cases: null and empty texts have no shingles and are linked with nothing; a text with fewer words
 than a shingle has one shingle, all of it; a null id is linked with nothing and has a null
 component; rows that repeat an id count as one document with several texts; an empty
-table gives an empty result; other columns are ignored.
+table gives an empty result; texts of any length are read whole; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -299,7 +299,8 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_column:
     shown = durable(real.groupBy("h1", "h2").agg(F.min_by(F.struct("id", "n", "signature", "bands"), "id").alias("r")).select("r.id", "r.n", "r.signature", "r.bands"))
     release(df.sparkSession)
     keyed = shown.select("id", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    # Counts by key are written before they are joined, here and below: the join's sides are plain shuffles then, of which a hot key's can be split.
+    shared = durable(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"))
     now = durable(keyed.join(shared, "key").select("key", "id", F.col("id").alias("comp")))
     release(df.sparkSession)
     nodes = durable(now.select("id", "comp").distinct())
@@ -316,8 +317,8 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_column:
         moved = durable(moved.withColumnsRenamed({"node": "comp", "component": "joined"}))
         put = lambda rows: rows.join(moved, "comp", "left").withColumn("comp", F.coalesce("joined", "comp")).drop("joined")
         nodes = durable(put(nodes).select("id", "comp"))
-        rest = put(now if also is None else now.join(also(links), "key", "left_semi")).select("key", "id", "comp")
-        apart = rest.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+        rest = durable(put(now if also is None else now.join(also(links), "key", "left_semi")).select("key", "id", "comp"))
+        apart = durable(rest.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key"))
         rest = durable(rest.join(apart, "key", "left_semi"))
         release(df.sparkSession)
         return rest
@@ -326,7 +327,7 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_column:
         if now.isEmpty():
             break
         order = F.xxhash64("id", "key", F.lit(k))
-        hubs = now.groupBy("key").agg(F.min_by("id", order).alias("b"), F.min_by("comp", order).alias("to"))
+        hubs = durable(now.groupBy("key").agg(F.min_by("id", order).alias("b"), F.min_by("comp", order).alias("to")))
         pairs = now.join(hubs, "key").where("comp <> to").select(F.col("id").alias("a"), "b", "comp", "to").distinct()
         near = hub_pairs(pairs, signed, least, percent).groupBy("comp").agg(*(F.min_by(c, "weight").alias(c) for c in ("a", "b", "to")))
         now = join_linked(durable(near.select("a", "b", "comp", "to")))
@@ -348,7 +349,7 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_column:
 def dealt(members: DataFrame, signed: DataFrame) -> DataFrame:
     """Members (key, id, comp) of buckets as pairs of blocks, with signatures: a bucket's largest component against the others, and the others against each other."""
     held = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
-    sizes = held.groupBy("key").agg(F.max_by("comp", "m").alias("main"), F.max("m").alias("of_main"), F.sum("m").alias("all"))
+    sizes = durable(held.groupBy("key").agg(F.max_by("comp", "m").alias("main"), F.max("m").alias("of_main"), F.sum("m").alias("all")))
     blocks = lambda m: F.ceil(m / BLOCK).cast("int")
     rows = members.join(sizes, "key").withColumns({"others": blocks(F.col("all") - F.col("of_main")), "mains": blocks(F.col("of_main")), "in_main": F.col("comp") == F.col("main")})
     block = F.pmod(F.xxhash64("id"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("others"))).cast("int")

@@ -7,7 +7,8 @@ these counts, and what is left is packed best-fit. The plan needs the histogram
 which sequence and place; the pieces then find theirs by their rank, without moving to one task.
 
 Edge cases: a null or empty text is one piece that holds the end id; repeated rows and ids are packed
-like any others; an empty table gives an empty result; other columns of the input are ignored.
+like any others, and pieces of one length take their places in the order of tasks; texts of any length are cut into
+pieces; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

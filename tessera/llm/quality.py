@@ -8,7 +8,9 @@ isotonic regression over a fixed grid of scores that rows get from weights fitte
 
 Edge cases: null and empty texts are scored by their statistics (all zero); labels that are null don't
 count, several labels of one document count each; without labels of both kinds every score is the share of
-good labels, or 0.5 without any; repeated rows give repeated results; empty tables give empty results.
+good labels, or 0.5 without any; repeated rows give repeated results, and texts of equal statistics equal scores;
+texts of any length are read whole; a null id is never held out; empty tables give empty results; other columns, whatever their
+names, pass through if asked for by `others`.
 """
 
 from __future__ import annotations

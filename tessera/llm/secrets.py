@@ -10,7 +10,8 @@ Spans are in code points, end exclusive; matches of a rule are leftmost and don'
 `measured` group is shorter than `least` is dropped after matching.
 
 Edge cases: a null or empty text has no spans; ids may be null or repeated, each row is verified on its own text; an
-empty table gives an empty result; other columns, if asked for by `keep`, pass through.
+empty table gives an empty result; spans that begin at one place come in the rules' order; texts of any length are read
+whole; other columns, whatever their names, pass through if asked for by `keep`.
 """
 
 from __future__ import annotations

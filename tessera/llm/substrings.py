@@ -13,13 +13,14 @@ longest that another place offers too is where the passage ends. Passages of `le
 more are reported. No step lines up pairs of places: all are counts by hash, combined before the shuffle.
 
 A place is one number, the partition of the input and the bytes before it there, so the input, which is read
-more than once, has to give its rows in the same order, as files do. A passage may stand elsewhere in the same row.
+more than once, has to give its rows in the same order, as files do; their splits are held. A passage may stand elsewhere in the same row.
 
 A passage of 50 words is missed only if it has no whole chunk: of passages of 255 bytes of prose that is less than one
 in ten thousand. The bytes that decide a cut lie within `reach` behind it and `LOOK` more before it, so nothing beyond the next chunk and those can be shared.
 
 Edge cases: null and empty texts have no chunks; rows are told apart by their place, so null and repeated ids are rows
-like others and null ids are reported as null; empty tables give empty results; other columns are ignored.
+like others and null ids are reported as null; texts of any length are read whole; empty tables give empty results; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import durable, id_type, release, slices, text_of, utf8_slices
+from tessera.llm.common import durable, fixed_splits, id_type, release, slices, text_of, utf8_slices
 
 GEAR = np.random.default_rng(20260104).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 MIX = np.uint32(0x9E3779B1)
@@ -209,7 +210,7 @@ def extensions(df: DataFrame, asked: DataFrame, id_column: str, text_column: str
 
     offered = durable(docs.join(lists, "row").select("row", "text", "asked").mapInArrow(run, longs("hash", "edge", "side", "at")))
     release(df.sparkSession)
-    twice = offered.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    twice = durable(offered.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"))
     return offered.where("edge >= 0").join(twice, "hash").groupBy("edge", "side").agg(F.when(F.col("side") == 0, F.min("at")).otherwise(F.max("at")).alias("at"), F.count(F.lit(1)).alias("words"))
 
 
@@ -218,8 +219,16 @@ def repeated_passages(df: DataFrame, id_column: str = "doc_id", text_column: str
 
     kept marks passages in which the first place of each of their chunks lies, by order of the input.
     """
+    with fixed_splits(df.sparkSession):  # all that reads the input is done within
+        return passages_in(df, id_column, text_column, least_words, reach)
+
+
+def passages_in(df: DataFrame, id_column: str, text_column: str, least_words: int, reach: int) -> DataFrame:
+    """The passages, from files whose splits stay the same."""
     found = chunks(df, id_column, text_column, reach, words=False)  # read twice: cheaper than to keep every chunk on disk
-    shared = found.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min("place").alias("first")).where("times > 1").drop("times")
+    # Written first, so that the join's sides are plain shuffles, of which a hot key's can be split.
+    shared = durable(found.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min("place").alias("first")).where("times > 1").drop("times"))
+    release(df.sparkSession)
     hits = unpacked(durable(chunks(df, id_column, text_column, reach).join(shared, "key")))
     release(df.sparkSession)
     by_row = Window.partitionBy("row").orderBy("place")

@@ -4,7 +4,8 @@ Operator: ``token_counts``. Batch encoding in Arrow functions that return length
 balanced by bytes and long texts are split at safe boundaries, where no token can span.
 
 Edge cases: a null or empty text has 0 bytes and 0 tokens; a null id stays null; repeated rows give
-repeated results; an empty table gives an empty result; other columns of the input are ignored.
+repeated results; texts of any length are counted whole; an empty table gives an empty result; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

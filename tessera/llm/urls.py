@@ -8,7 +8,7 @@ of that size, each its own pass whose best match is kept by the same order.
 Host: behind the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z in lower case. Path: then up to
 ``?``, ``#`` or the end. A null url or one without ``://`` has an empty host and path and gets the
 default verdict. Repeated rows give repeated results; of rules with the same host and path the last counts; an empty
-table gives an empty result; other columns are ignored.
+table gives an empty result; urls of any length are read whole; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
