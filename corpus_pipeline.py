@@ -16,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import remove, shared_folder, table, with_row_key
+from tessera.llm.common import durable, remove, shared_folder, table, with_row_key
 from tessera.llm.decontamination import drop_leaks, find_leaks
 from tessera.llm.minhash import near_duplicates
 from tessera.llm.packing import pack
@@ -49,7 +49,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rows that hold a benchmark item, within its budget of edits. An empty benchmark drops nothing."""
     rows = with_row_key(docs, ROW)
-    return drop_leaks(rows, find_leaks(rows, table(spark, sf_dir, "benchmark"), id_column=ROW), id_column=ROW).drop(ROW)
+    leaks = durable(find_leaks(rows, table(spark, sf_dir, "benchmark"), id_column=ROW))
+    return drop_leaks(rows, leaks, id_column=ROW).drop(ROW)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
