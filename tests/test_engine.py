@@ -242,13 +242,33 @@ def test_affected_rows_are_those_found(db):
 
 
 def test_inserts_append(db):
-    before = db.manifest()["kv"]["paths"]
+    before = db.manifest()["kv"]["parts"]
     assert db.execute("INSERT INTO kv VALUES (7, 8), (9, NULL)") == 2
-    now = db.manifest()["kv"]["paths"]
-    assert now[:-1] == before and len(now) == 2
+    now = db.manifest()["kv"]["parts"]
+    assert before.items() <= now.items() and len(now) == 2
     assert (9, None) in [tuple(r) for r in db.execute("SELECT k, v FROM kv").collect()]
 
 
+def test_changes_write_only_files_with_rows_found(spark, db):
+    t = db.begin()
+    t.write("kv", spark.range(1000).selectExpr("id as k", "id % 7 as v").repartitionByRange(8, "k"))
+    t.commit()
+    assert db.execute("UPDATE kv SET v = 70 WHERE k = 500") == 1
+    (first, gone), (second, none) = db.manifest()["kv"]["parts"].items()
+    assert len(gone) == 1 and none == []
+    assert spark.read.parquet(f"{db.folder}/{second}").count() < 200
+    assert db.execute("DELETE FROM kv WHERE v = 70 OR k < 3") == 4
+    assert db.execute("DELETE FROM kv WHERE v = 6 ORDER BY k DESC LIMIT 5") == 5
+    want = sorted((k, k % 7) for k in range(1000) if k not in (0, 1, 2, 500))
+    want = [r for r in want if r not in [x for x in want if x[1] == 6][-5:]]
+    assert rows(db) == want
+    before = len(db.manifest()["kv"]["parts"])
+    db.compact("kv")
+    assert before > 1 and len(db.manifest()["kv"]["parts"]) == 1 and rows(db) == want
+    assert db.execute("DELETE FROM kv") == len(want) and db.execute("DELETE FROM kv") == 0 and rows(db) == []
+    assert db.execute("INSERT INTO kv VALUES (1, 2)") == 1 and rows(db) == [(1, 2)]
+
+
 def test_crash_between_staging_and_manifest(spark, db, monkeypatch):
     t = db.begin()
     t.execute("DELETE FROM kv WHERE k = 0")
