@@ -245,8 +245,8 @@ def passages_in(df: DataFrame, id_column: str, text_column: str, least_words: in
     real = runs.select("row", F.col("start").alias("edge"), F.explode(F.array(*(F.struct(F.col(key).alias("key"), F.lit(k).cast("long").alias("side"), F.col(at).alias("at"), F.col(reach).alias("reach")) for k, key, at, reach in ((0, "left_key", "start", "left"), (1, "right_key", "stop", "right"))))).alias("x"))
     real = real.select("row", "edge", "x.*")
     inner = (F.when(~F.col(edge), F.struct("key", F.lit(k).cast("long").alias("side"), F.col(beside).alias("beside"), at.alias("at"), F.col(reach).alias("reach"))) for k, edge, beside, at, reach in ((0, "begins", "previous", F.col("place"), "left"), (1, "ends", "following", to, "right")))
-    inner = lined.select("row", F.explode(F.array_compact(F.array(*inner))).alias("x")).select("row", "x.*").join(real.select("key", "side").distinct(), ["key", "side"], "left_semi")
-    inner = inner.groupBy("key", "side", "beside").agg(F.min(F.struct("at", "row", "reach")).alias("one")).select("one.row", F.lit(-1).cast("long").alias("edge"), "key", "side", "one.at", "one.reach")
+    inner = lined.select("row", F.explode(F.array_compact(F.array(*inner))).alias("x")).select("row", "x.*").join(durable(real.select("key", "side").distinct()), ["key", "side"], "left_semi")
+    inner = durable(inner).groupBy("key", "side", "beside").agg(F.min(F.struct("at", "row", "reach")).alias("one")).select("one.row", F.lit(-1).cast("long").alias("edge"), "key", "side", "one.at", "one.reach")
     asked = durable(real.unionByName(inner).where("reach > 0").select("row", "edge", "key", "side", "at", "reach"))
     release(df.sparkSession)
     reached = durable(extensions(df, asked, id_column, text_column))
