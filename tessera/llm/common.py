@@ -57,7 +57,11 @@ def durable(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     with settings(spark, spark_sql_execution_arrow_maxRecordsPerBatch=BATCH):
-        return df.checkpoint(eager=True)
+        done = df.checkpoint(eager=True)
+    # A checkpoint keeps its plan's size estimate, and a join's is the product of its sides', so the estimate's digits would double with
+    # every round that joins what the last one wrote, up to hundreds of megabytes of them. The same rows without it:
+    rows = done._jdf.queryExecution().analyzed().rdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, done._jdf.schema(), False), spark)
 
 
 def release(spark: SparkSession) -> None:
@@ -176,9 +180,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of `edges` (src, dst); component is the smallest node reachable.
 
     Alternates large-star and small-star steps: each is one minimum by node, combined before the
-    shuffle and written, and one join of plain shuffles, which adaptive execution can split where a node has
-    many neighbours. Steps end when every edge points at its component's smallest node. Nothing but two numbers a
-    step reaches the driver.
+    shuffle, and one merge join that streams a node's neighbours past its minimum, however many they are. Steps
+    end when every edge points at its component's smallest node. Nothing but two numbers a step reaches the driver.
     """
     now = durable(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
     before = None
@@ -188,9 +191,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         before = (print_of.n, print_of.h)
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = durable(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        down = durable(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        down = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(down, "u")
         now = durable(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(down.select("u", F.col("m").alias("v"))).distinct())
+        release(edges.sparkSession)  # what steps broadcast goes before the next one
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -561,3 +561,22 @@ def test_queries_against_duckdb(spark, name):
     want = sorted(str({n: r[k] for k, n in sorted(enumerate(names), key=lambda x: x[1])}) for r in found.fetchall())
     df = queries.queries()[name](spark, folder)
     assert sorted(str({c: r[c] for c in sorted(df.columns)}) for r in df.collect()) == want
+
+
+def test_large_groups_of_near_copies_cost_their_size(spark, monkeypatch):
+    """Hubs join a tight group; what is left to be compared pair by pair is a small part of its memberships."""
+    from tessera.llm import minhash
+
+    rng = random.Random(18)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for _ in range(500):
+        words = list(base)
+        for _ in range(rng.randrange(1, 3)):
+            words[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    dealt, left = minhash.dealt, []
+    monkeypatch.setattr(minhash, "dealt", lambda members, signed: left.append(members.count()) or dealt(members, signed))
+    got = near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3, 85).collect()
+    assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
+    assert sum(left) < 0.5 * 500
