@@ -3,6 +3,7 @@
 import random
 import re
 import zlib
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -11,7 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import queries
+from tessera.llm import packing, queries
+from tessera.llm.common import connected_components, durable, fixed_splits, shared_folder
 from tessera.llm.decontamination import best_distance, find_leaks, words_of
 from tessera.llm.embeddings import near_vectors
 from tessera.llm.licenses import TEMPLATES, Automaton, Scanner, license_scan
@@ -67,8 +69,10 @@ def test_token_counts(docs):
     assert sorted((r.n_bytes, r.n_tokens) for r in token_counts(docs, PATH).collect()) == want
 
 
-def test_pack(docs):
-    """Every id of every row is in one place, in order, and sequences are gapless."""
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_pack(docs, monkeypatch, most):
+    """Every id of every row is in one place, in order, and sequences are gapless, whether places are broadcast or not."""
+    monkeypatch.setattr(packing, "MOST", most)
     t = Tokenizer.from_file(PATH)
     rows = pack(docs, PATH, capacity=64).collect()
     want = [(r.doc_id, [*t.encode(r.text or "", add_special_tokens=False).ids, 1]) for r in docs.collect()]
@@ -580,3 +584,40 @@ def test_large_groups_of_near_copies_cost_their_size(spark, monkeypatch):
     got = near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3, 85).collect()
     assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
     assert sum(left) < 0.5 * 500
+
+
+def test_settings_are_put_back(spark):
+    names = ["spark.sql.files.minPartitionNum", "spark.sql.execution.arrow.maxRecordsPerBatch"]
+    before = [spark.conf.get(n, None) for n in names]
+    with fixed_splits(spark):
+        assert int(spark.conf.get(names[0])) >= 1
+    durable(spark.range(3))
+    assert [spark.conf.get(n, None) for n in names] == before
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    session = lambda master, named: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: named), sparkContext=SimpleNamespace(master=master))
+    assert shared_folder(session("yarn", "hdfs://x/c/")) == "hdfs://x/c"
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_folder(session("yarn", ""))
+    assert shared_folder(session("local", "")) and shared_folder(session("local[4]", ""))
+
+
+def test_connected_components(spark):
+    rng = random.Random(19)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(400 + k, 401 + k) for k in range(60)] + [(1000, 1000 + k) for k in range(1, 80)] + [(7, 7)]
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {x: c for x, c in root.items() if any(x in e for e in edges if e[0] != e[1])}
+    assert connected_components(spark.createDataFrame([], "src long, dst long")).collect() == []
+
+
+def test_joined_checkpoints_keep_no_estimates(spark):
+    """The size estimates of plans don't grow from round to round."""
+    df = spark.range(50).selectExpr("id as k", "id as v")
+    for _ in range(12):
+        df = durable(df.join(df.groupBy("k").max("v").withColumnRenamed("max(v)", "m"), "k").select("k", F.col("m").alias("v")))
+    assert len(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 40 and df.count() == 50
