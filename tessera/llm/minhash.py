@@ -27,6 +27,8 @@ table gives an empty result; texts of any length are read whole; other columns,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -309,8 +311,8 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_column:
     sets = durable(full_sets(texts.dropDuplicates(["id", "text"]), size))
     release(df.sparkSession)
 
-    def join_linked(pairs: DataFrame, also: DataFrame | None = None) -> DataFrame:
-        """Confirms pairs (a, b, comp, to) and joins the components of those that are linked; the members of buckets that still hold several."""
+    def join_linked(pairs: DataFrame, also: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """Confirms pairs (a, b, comp, to) and joins the components of those that are linked. The members of buckets that still hold several, of all or of those whose keys `also` takes from the links."""
         nonlocal nodes
         links = durable(confirmed(pairs, sets, percent))
         moved = connected_components(pairs.join(links, ["a", "b"]).select(F.col("comp").alias("src"), F.col("to").alias("dst")))

@@ -151,7 +151,8 @@ def secret_scan(df: DataFrame, rules: list[Rule] | None = None, id_column: str =
         postings = lower.select("_key", F.explode(found).alias("trigram"))
         # A row for each trigram of each way to satisfy a rule; more than 60 of a way would only narrow it further.
         asks = [(t, k, w, 1 << n, (1 << min(len(q), 60)) - 1) for k, query in indexed.items() for w, q in enumerate(sorted(query, key=sorted)) for n, t in enumerate(sorted(q)[:60])]
-        queries = df.sparkSession.createDataFrame(asks, "trigram string, rule int, way int, bit long, all_bits long")
+        names = ("trigram", "rule", "way", "bit", "all_bits")
+        queries = df.sparkSession.range(1).select(F.inline(F.array(*(F.struct(*(F.lit(v).cast("long" if n.endswith(("bit", "bits")) else "int" if n != "trigram" else "string").alias(n) for n, v in zip(names, x, strict=True))) for x in asks))))
         held = postings.join(queries, "trigram").groupBy("_key", "rule", "way", "all_bits").agg(F.bit_or("bit").alias("bits")).where("bits = all_bits")
         candidates = held.groupBy(F.col("_key").alias("_candidate")).agg(F.collect_set("rule").alias("_rules"))  # as many as there are rules at most
         docs = docs.join(candidates, F.col("_key") == F.col("_candidate"), "left")
