@@ -112,7 +112,7 @@ from documents d left join sizes z on d.doc_id = z.doc_id left join named m on d
 """
 
 
-def op7_sql() -> str:
+def secrets_sql() -> str:
     """The pieces between matches and the matches themselves, one behind the other, give the places."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     rules = "\n  union all ".join(
@@ -143,4 +143,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_embeddings": OP4_SQL, "op6_url_filter": OP6_SQL, "op7_secrets": op7_sql(), "op8_minhash": OP8_SQL}
+    return {"op4_embeddings": OP4_SQL, "op6_url_filter": OP6_SQL, "op7_secrets": secrets_sql(), "op8_minhash": OP8_SQL}

@@ -621,3 +621,8 @@ def test_joined_checkpoints_keep_no_estimates(spark):
     for _ in range(12):
         df = durable(df.join(df.groupBy("k").max("v").withColumnRenamed("max(v)", "m"), "k").select("k", F.col("m").alias("v")))
     assert len(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 40 and df.count() == 50
+
+
+def test_registered_queries():
+    assert sorted(queries.queries(), key=lambda n: int(n[2:].split("_")[0])) == ["op1_licenses", "op2_packing", "op3_decontamination", "op4_embeddings", "op5_token_counts", "op6_url_filter", "op7_secrets", "op8_minhash", "op9_substrings", "op10_quality"]
+    assert set(queries.oracle_sql()) <= set(queries.queries())
