@@ -67,8 +67,8 @@ text("agg_empty", "SELECT COUNT(*) AS n, MIN(n_name) AS lo FROM nation WHERE n_n
 text("having", "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey HAVING COUNT(*) > 15")
 text("group_no_agg", "SELECT l_returnflag, l_linestatus FROM lineitem GROUP BY l_returnflag, l_linestatus")
 text("agg_expression", "SELECT n_regionkey, SUM(n_nationkey) + 1 AS s FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, CAST(SUM(n_nationkey) + 1 AS BIGINT) AS s FROM nation GROUP BY n_regionkey")
-text("group_by_expression", "SELECT n_regionkey + 1 AS k, COUNT(*) AS n FROM nation GROUP BY n_regionkey + 1")
-text("group_by_predicate", "SELECT c_nationkey % 3 AS k, c_custkey > 50 AS late, MAX(c_custkey) AS hi FROM customer GROUP BY c_nationkey % 3, c_custkey > 50", "SELECT c_nationkey % 3 AS k, CAST(c_custkey > 50 AS BIGINT) AS late, MAX(c_custkey) AS hi FROM customer GROUP BY ALL")
+text("group_by_expression", "SELECT n_regionkey + 1 AS k, COUNT(*) AS n FROM nation GROUP BY n_regionkey + 1", "SELECT CAST(n_regionkey + 1 AS BIGINT) AS k, COUNT(*) AS n FROM nation GROUP BY n_regionkey + 1")
+text("group_by_predicate", "SELECT c_nationkey % 3 AS k, c_custkey > 50 AS late, MAX(c_custkey) AS hi FROM customer GROUP BY c_nationkey % 3, c_custkey > 50", "SELECT CAST(c_nationkey % 3 AS BIGINT) AS k, CAST(c_custkey > 50 AS BIGINT) AS late, MAX(c_custkey) AS hi FROM customer GROUP BY ALL")
 text("like_column", "SELECT a.n_name AS x, b.r_name AS y FROM nation a JOIN region b ON a.n_name LIKE '%' || b.r_name OR NOT b.r_name LIKE a.n_name")
 text("hex_literal", "SELECT x'4A4b' AS h, n_nationkey FROM nation WHERE n_nationkey = 3", "SELECT '4A4b' AS h, n_nationkey FROM nation WHERE n_nationkey = 3")
 text("qualified_star", "SELECT b.*, a.n_name AS n FROM nation a JOIN region b ON a.n_regionkey = b.r_regionkey")
