@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import all_of
+from tessera.plans import estimated_bytes
 
 #: Names of join strategies and the hints that ask for them; "auto" leaves the choice to size statistics and AQE.
 STRATEGIES = {"hash": "SHUFFLE_HASH", "merge": "MERGE", "loop": "SHUFFLE_REPLICATE_NL"}
+#: Up to this product of both sides' estimated bytes an inner loop goes through all pairs of rows, some ten million a core and second.
+ALL_PAIRS = 1e10
 KINDS = {"inner", "left", "right", "full", "cross"}
 AGGREGATES = {"count", "sum", "min", "max"}
 
@@ -36,13 +39,19 @@ def select(df: DataFrame, predicate: Column) -> DataFrame:
 
 
 def join(left: DataFrame, right: DataFrame, on: Column | None = None, kind: str = "inner", strategy: str = "auto") -> DataFrame:
-    """Equi-keys are taken out of `on` and the rest stays as its residual; null keys never match."""
+    """Equi-keys are taken out of `on` and the rest stays as its residual; null keys never match.
+
+    "loop" goes through all pairs of small sides. Of larger ones, or if a size isn't known, it goes only through the pairs
+    with equal keys, which a merge brings together; without an equality in `on` it has to go through all pairs at any size.
+    """
     if kind not in KINDS:
         raise ValueError(f"join kind {kind!r} isn't supported")
     if kind == "cross":
         return left.crossJoin(right)
     if on is None:
         raise ValueError(f"a join of kind {kind!r} needs a condition")
+    if strategy == "loop" and kind == "inner" and estimated_bytes(left) * estimated_bytes(right) > ALL_PAIRS:
+        left = left.hint(STRATEGIES["merge"])  # Spark puts it before the loop where there are keys to merge by
     if strategy != "auto":
         right = right.hint(STRATEGIES[strategy])
     return left.join(right, on, kind)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera import catalogue_queries as Q
 from tessera import operators as O
 from tessera.functions import all_of, divide, key_hash, like, modulo
-from tessera.plans import explain
+from tessera.plans import estimated_bytes, explain
 from tessera.shell import Shell, create_tables, load_files
 from tessera.sources import Catalog, CatalogError, Index, IndexedTable, Table, matching_index, read_csv
 from tessera.sql import Engine, SqlError
@@ -149,6 +149,51 @@ def test_join_strategies_are_taken(spark):
         assert node in explain(O.join(a, b, a.x == b.y, "inner", strategy), "simple")
 
 
+def test_loop_of_large_sides_takes_pairs_with_equal_keys_only(spark):
+    a = spark.range(60_000).selectExpr("nullif(id % 1500, 7) as x", "id as v")
+    b = spark.range(60_000).selectExpr("nullif(id % 3000, 11) as y", "id as w")
+    for on in (a.x == b.y, (a.x == b.y) & (a.v < b.w)):
+        out = O.join(a, b, on, "inner", "loop")
+        plan = explain(out, "simple")
+        assert "CartesianProduct" not in plan and "SortMergeJoin" in plan
+        sums = [F.count("*"), F.sum(F.xxhash64("x", "v", "y", "w").cast("decimal(38,0)"))]
+        assert out.agg(*sums).first() == O.join(a, b, on, "inner", "hash").agg(*sums).first()
+    assert "CartesianProduct" in explain(O.join(a, b, a.x < b.y, "inner", "loop"), "simple")
+
+
+def test_loop_query_ends_on_larger_tables(spark):
+    df = Q.queries()["join_loop_hint"](spark, "/root/testdata/sf0.1")
+    assert "CartesianProduct" not in explain(df, "simple")
+    folder = "/root/testdata/sf0.1"
+    want = duckdb.sql(f"select o_orderkey, c_name from '{folder}/orders.parquet' join '{folder}/customer.parquet' on o_custkey = c_custkey").fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize(("on", "want"), [("x = y", [(1, 1, 1, 5), (1, 1, 1, 6), (1, 2, 1, 5), (1, 2, 1, 6), (3, 4, 3, 8)]), ("x = y and v < w - 4", [(1, 1, 1, 6)]), ("x > y", [(3, 4, 1, 5), (3, 4, 1, 6)])])
+def test_loop_of_small_sides_goes_through_all_pairs(spark, on, want):
+    """Sizes of literal rows are known, those of rows from Python aren't."""
+    a = spark.sql("select * from values (1L, 1L), (1L, 2L), (null, 3L), (3L, 4L) t(x, v)")
+    b = spark.sql("select * from values (1L, 5L), (1L, 6L), (null, 7L), (3L, 8L), (9L, 9L) t(y, w)")
+    for left, right in ((a, b), (a.limit(0), b)):
+        out = O.join(left, right, F.expr(on), "inner", "loop")
+        assert left is not a or "CartesianProduct" in explain(out, "simple")
+        assert sorted(map(tuple, out.collect())) == (want if left is a else [])
+
+
+def test_estimated_bytes(spark, tmp_path):
+    assert estimated_bytes(spark.range(1024)) == 8192
+    spark.range(300_000).write.parquet(str(tmp_path / "t"))
+    stored = sum(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet"))
+    assert abs(estimated_bytes(spark.read.parquet(str(tmp_path / "t"))) / stored - 1) < 0.1
+    many = spark.range(1).select(F.explode(F.sequence(F.lit(1), F.lit(10**6))).alias("x"))
+    for df in (many, many.where("x > 3").groupBy("x").count(), many.persist(), spark.range(3).mapInArrow(lambda it: it, "id long")):
+        assert estimated_bytes(df) == float("inf")
+    many.unpersist()
+    assert estimated_bytes(spark.createDataFrame([(1,)], "x long")) > 1e18
+    odd = "x, Statistics(sizeInBytes=1 KB, "
+    assert 0 < estimated_bytes(spark.range(1024).select(F.col("id").alias(odd)).where(F.col(f"`{odd}`").cast("string") != odd)) <= 8192
+
+
 def test_key_hash_and_all_of(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (1, None), (None, None)], "x long, y string")
     assert df.select(key_hash("x", "y").alias("h")).distinct().count() == 3
